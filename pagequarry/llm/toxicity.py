@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm.common import NON_ALNUM, Words, chunks, crc_mod, mix, ship
 
-BUCKETS, DIM, PASSAGE, SIZES = 1 << 17, 8, 32, (3, 4, 5)
+BUCKETS, DIM, PASSAGE, SIZES = 1 << 20, 4, 32, (3, 4, 5)
+#: Features of fewer texts' words than this keep no vector.
+LEAST = 5
 MAX_ROWS = 2000
 SCALE = float(PASSAGE)
 
@@ -58,7 +60,7 @@ def passages(w: Words) -> np.ndarray:
     return (np.arange(len(w.start)) - w.first[w.doc]) // PASSAGE
 
 
-def train(texts: list[bytes], label: np.ndarray, prior: float, steps: int = 60, rate: float = 0.15) -> dict:
+def train(texts: list[bytes], label: np.ndarray, prior: float, steps: int = 40, rate: float = 0.2) -> dict:
     """Embeddings, softmax and final fit.  Returns one weight per bucket (embedding times softmax) and the scalars."""
     vocab: dict[int, int] = {}
     ids, doc, passage, feats, counts = [], [], [], [], []
@@ -85,8 +87,12 @@ def train(texts: list[bytes], label: np.ndarray, prior: float, steps: int = 60,
         base += int(new.sum())
     ids, passage, doc = map(np.concatenate, (ids, passage, doc))
     feats, counts = np.concatenate(feats), np.concatenate(counts)
-    at = np.cumsum(counts) - counts
     owner = np.repeat(np.arange(len(counts)), counts)
+    texts_of = np.bincount(np.unique(ids * np.int64(len(texts)) + doc[passage]) // len(texts), minlength=len(counts))
+    kept = (np.bincount(feats, weights=texts_of[owner], minlength=BUCKETS) >= LEAST)[feats]
+    feats, owner = feats[kept], owner[kept]
+    word_at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    words_with = owner[word_at]
     by_bucket = np.argsort(feats, kind="stable")
     used, cut = np.unique(feats[by_bucket], return_index=True)
     by_owner = owner[by_bucket]
@@ -100,38 +106,44 @@ def train(texts: list[bytes], label: np.ndarray, prior: float, steps: int = 60,
     slot = np.zeros(BUCKETS, dtype=np.int64)
     slot[used] = np.arange(len(used))
     feats = slot[feats]
-    emb = rng.normal(0, 0.05, (len(used), DIM)).astype(np.float32)
+    # One row per dimension, so that each sum runs over contiguous numbers.
+    emb = rng.normal(0, 0.05, (DIM, len(used))).astype(np.float32)
     soft = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, dtype=np.float32)
     params = [emb, soft, bias]
     m1 = [np.zeros_like(x) for x in params]
     m2 = [np.zeros_like(x) for x in params]
-    inv_counts = (1.0 / counts).astype(np.float32)[:, None]
-    inv_per = (SCALE / per).astype(np.float32)[:, None]
+    inv_counts = (1.0 / counts).astype(np.float32)
+    inv_per = (SCALE / per).astype(np.float32)
+    passage_by_word = passage[by_word]
+    bag = np.zeros((DIM, len(per)), dtype=np.float32)
+    d_emb = np.zeros_like(emb)
     # each class weighs alike, and each text within its class
     weight = 1.0 / np.bincount(doc, minlength=len(label))[doc]
     weight *= np.where(y == 1, 0.5 / max(1e-9, weight[y == 1].sum()), 0.5 / max(1e-9, weight[y == 0].sum()))
     for t in range(1, steps + 1):
-        word = np.add.reduceat(emb[feats], at) * inv_counts
-        bag = np.add.reduceat(word[ids], head) * inv_per
-        z = bag @ soft + bias
+        for k in range(DIM):
+            word = np.zeros(len(counts), dtype=np.float32)
+            word[words_with] = np.add.reduceat(emb[k][feats], word_at)
+            bag[k] = np.add.reduceat((word * inv_counts)[ids], head) * inv_per
+        z = bag.T @ soft + bias
         z -= z.max(axis=1, keepdims=True)
         prob = np.exp(z)
         prob /= prob.sum(axis=1, keepdims=True)
         g = prob.copy()
         g[np.arange(len(y)), y.astype(int)] -= 1
         g = (g * weight[:, None]).astype(np.float32)
-        d_soft, d_bias = bag.T @ g, g.sum(axis=0)
-        d_bag = (g @ soft.T) * inv_per
-        d_word = np.zeros_like(word)
-        d_word[seen] = np.add.reduceat(d_bag[passage[by_word]], word_cut)
-        d_emb = np.add.reduceat((d_word * inv_counts)[by_owner], cut)
+        d_soft, d_bias = bag @ g, g.sum(axis=0)
+        for k in range(DIM):
+            d_word = np.zeros(len(counts), dtype=np.float32)
+            d_word[seen] = np.add.reduceat(((g @ soft[k]) * inv_per)[passage_by_word], word_cut)
+            d_emb[k] = np.add.reduceat((d_word * inv_counts)[by_owner], cut)
         for x, d, a, b in zip(params, (d_emb, d_soft, d_bias), m1, m2, strict=True):
             a += 0.1 * (d - a)
             b += 0.01 * (d * d - b)
             x -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)
     out = {"weight": np.zeros(BUCKETS, dtype=np.float32), "bias": float(bias[1] - bias[0])}
-    out["weight"][used] = emb @ (soft[:, 1] - soft[:, 0]) * np.float32(SCALE)
+    out["weight"][used] = (soft[:, 1] - soft[:, 0]) @ emb * np.float32(SCALE)
     # Final fit on the texts' worst passages, classes weighted to the prior.
     odds = worst_passages(texts, out)
     mean, dev = odds.mean(), odds.std() + 1e-9
