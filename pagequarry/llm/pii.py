@@ -108,16 +108,16 @@ VOTED = "array<struct<s:int,e:int,v:array<int>>>"
 
 
 def spot(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with base spans (_email ...), base votes and loose candidates with votes."""
+    """``docs`` with base spans (_pii_email ...), base votes and loose candidates with votes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = lambda kind: lambda s, e, m, g: F.when(valid(kind, m), F.struct(s.alias("s"), e.alias("e")))
     voted = lambda kind, check: lambda s, e, m, g: F.when(check(m), F.struct(s.alias("s"), e.alias("e"), F.array(*votes(kind, m, g)).alias("v")))
     new = {}
     for kind in ("ip", "card"):
-        new[f"_{kind}"] = located(text, PATTERNS[kind], NEEDS[kind], plain(kind), SPAN)
+        new[f"_pii_{kind}"] = located(text, PATTERNS[kind], NEEDS[kind], plain(kind), SPAN)
     for kind in ("email", "phone"):
-        new[f"_{kind}"] = located(text, PATTERNS[kind], NEEDS[kind], voted(kind, lambda m, k=kind: valid(k, m)), VOTED)
-        new[f"_loose_{kind}"] = located(text, LOOSE[kind], LOOSE_NEEDS[kind], voted(kind, lambda m: F.lit(True)), VOTED)
+        new[f"_pii_{kind}"] = located(text, PATTERNS[kind], NEEDS[kind], voted(kind, lambda m, k=kind: valid(k, m)), VOTED)
+        new[f"_pii_loose_{kind}"] = located(text, LOOSE[kind], LOOSE_NEEDS[kind], voted(kind, lambda m: F.lit(True)), VOTED)
     return docs.withColumns(new)
 
 
@@ -162,12 +162,29 @@ def estimate(rows: list[tuple[str, tuple[int, ...], bool, int]], rounds: int = 6
     return out
 
 
-def pii_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``base`` and ``spans``: arrays of (s, k, e, kind) in order of start, then kind as listed."""
-    seen = materialize(spot(docs, text_col), "pii")
+def classifier(w: list[float], b: float):
+    """The trained decision on a candidate, which must overlap no base span."""
+
+    def accept(x: Column) -> Column:
+        odds = F.lit(b)
+        for j, a in enumerate(w):
+            odds = odds + F.lit(a) * x["v"][j]
+        return (odds >= 0) & ~F.exists("_pii_base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
+
+    return accept
+
+
+def of_kind(kind: str):
+    return lambda x: x["kind"] == kind
+
+
+def pii_spans(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``_pii_base`` and ``_pii_spans``: arrays of (s, k, e, kind) in order of start, then kind as listed."""
+    seen = spot(docs, text_col)
+    seen = materialize(seen if keep_text else seen.drop(text_col), "pii")
     hist = None
     for kind in ("email", "phone"):
-        for name, base in ((f"_{kind}", True), (f"_loose_{kind}", False)):
+        for name, base in ((f"_pii_{kind}", True), (f"_pii_loose_{kind}", False)):
             part = seen.select(F.explode(name).alias("x")).select(F.lit(kind).alias("kind"), F.col("x.v").alias("v"), F.lit(base).alias("base"))
             hist = part if hist is None else hist.unionByName(part)
     rows = [(r.kind, tuple(r.v), r.base, r.n) for r in hist.groupBy("kind", "v", "base").agg(F.count("*").alias("n")).collect()]
@@ -177,20 +194,14 @@ def pii_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         spans = F.col(column) if test is None else F.filter(column, test)
         return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), F.lit(kind).alias("kind")))
 
-    out = seen.withColumn("base", F.array_sort(F.concat(*[named(f"_{k}", k) for k in KINDS])))
+    out = seen.withColumn("_pii_base", F.array_sort(F.concat(*[named(f"_pii_{k}", k) for k in KINDS])))
     added = []
     for kind in ("email", "phone"):
         w, b = model.get(kind, ([0.0] * 4, -1.0))
 
-        def accept(x: Column, w=w, b=b) -> Column:
-            odds = F.lit(b)
-            for j, a in enumerate(w):
-                odds = odds + F.lit(a) * x["v"][j]
-            return (odds >= 0) & ~F.exists("base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
-
-        added.append(named(f"_loose_{kind}", kind, accept))
-    out = out.withColumn("spans", F.array_sort(F.concat("base", *added)))
-    return out.drop(*[f"_{k}" for k in KINDS], "_loose_email", "_loose_phone")
+        added.append(named(f"_pii_loose_{kind}", kind, classifier(w, b)))
+    out = out.withColumn("_pii_spans", F.array_sort(F.concat("_pii_base", *added)))
+    return out.drop(*[f"_pii_{k}" for k in KINDS], "_pii_loose_email", "_pii_loose_phone")
 
 
 def joined(spans: str) -> Column:
@@ -199,22 +210,22 @@ def joined(spans: str) -> Column:
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans by kind, base_sha256, spans."""
-    found = pii_spans(docs.selectExpr("cast(doc_id as bigint) doc_id", "text")).select("doc_id", "base", "spans")
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    found = pii_spans(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), keep_text=False).select("doc_id", "_pii_base", "_pii_spans")
+    counts = [F.size(F.filter("_pii_base", of_kind(k))).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("_pii_base").cast("binary"), 256).alias("base_sha256"), joined("_pii_spans").alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with each span (overlapping ones as one) replaced by its kind in brackets; null text stays null."""
     columns = docs.columns
-    found = pii_spans(docs.withColumn("_text", F.col(text_col)), "_text")
-    text = F.col("_text")
+    found = pii_spans(docs.withColumn("_pii_text", F.col(text_col)), "_pii_text")
+    text = F.col("_pii_text")
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         piece = F.concat(F.substr(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], F.array_append(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
-    whole = F.aggregate("spans", begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text))))
-    clean = F.when(F.size("spans") > 0, whole).otherwise(text)
+    whole = F.aggregate("_pii_spans", begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text))))
+    clean = F.when(F.size("_pii_spans") > 0, whole).otherwise(text)
     return found.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns])
