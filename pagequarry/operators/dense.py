@@ -36,7 +36,7 @@ def _block(rows: list, corpus: DataFrame, kind: str, k: int, digits: int) -> Dat
     def run(batches):
         for b in batches:
             v = b.column(2)
-            ok = np.array([x is not None and len(x) == vecs.shape[1] for x in v], dtype=bool) if len(ids) else np.zeros(b.num_rows, dtype=bool)
+            ok = np.array([x.is_valid and len(x) == vecs.shape[1] for x in v], dtype=bool) if len(ids) else np.zeros(b.num_rows, dtype=bool)
             if not ok.any():
                 continue
             x = np.stack([np.asarray(v[i].values, dtype=np.float64) for i in np.flatnonzero(ok)])

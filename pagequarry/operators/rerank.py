@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,10 +55,6 @@ def cross_encoder(load: Callable[[], Callable[[list, list], list]]) -> Reranker:
     """A reranker from a model: ``load()`` runs once per Python worker and gives predict(queries, summaries) -> scores."""
 
     def rerank(pairs: DataFrame) -> DataFrame:
-        from collections.abc import Iterator
-
-        import pandas as pd
-
         @F.pandas_udf("double")
         def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             predict = load()
