@@ -29,7 +29,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"))
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("n_kept_runs")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,5 +85,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ALL}
 
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+_OP1 = f"""WITH w AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) i FROM w)),
+dup AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) i FROM dup),
+word AS (SELECT doc_id, unnest(w) x, generate_subscripts(w, 1) i FROM w),
+kept AS (SELECT doc_id, count(*) n, string_agg(x, ' ' ORDER BY i) s FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w) n_words, len(w) - coalesce(n, 0) n_removed, sha256(coalesce(s, '')) kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+_CLOSURE = """r AS (SELECT id node, id reach FROM node UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a),
+comp AS (SELECT node, min(reach) c FROM r GROUP BY node)"""
+
+_OP5 = f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+e AS (SELECT p.vec_id a, q.vec_id b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND len(p.x) = len(q.x)
+  WHERE list_dot_product(p.x, q.x) / (sqrt(list_dot_product(p.x, p.x)) * sqrt(list_dot_product(q.x, q.x))) >= 0.95),
+node AS (SELECT vec_id id FROM embeddings), {_CLOSURE}
+SELECT vec_id, coalesce(n, 0) n_links, c component_id, vec_id = c kept FROM embeddings JOIN comp ON node = vec_id LEFT JOIN (SELECT a vec_id, count(*) n FROM e GROUP BY a) USING (vec_id)"""
+
+_OP10 = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+i AS (SELECT x.doc_id a, y.doc_id b, count(*) c FROM s x JOIN s y USING (k) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+node AS (SELECT doc_id id FROM documents), {_CLOSURE}
+SELECT doc_id, coalesce(n, 0) n_shingles, c component_id, doc_id = c kept FROM documents JOIN comp ON node = doc_id LEFT JOIN n USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others learn, or take a library's or a fixed pattern's word: see tests/llm."""
+    return {"op1_substring_dedup": _OP1, "op5_embedding_dedup": _OP5, "op10_minhash_dedup": _OP10}
