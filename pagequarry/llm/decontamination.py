@@ -83,6 +83,20 @@ def best_run(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), end - size, end
 
 
+def least_distances(items: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Row by row, the edit distance of the item to the nearest run of the text; all rows advance together."""
+    idx = np.arange(texts.shape[1] + 1, dtype=np.int16)
+    row = np.zeros((len(texts), len(idx)), dtype=np.int16)
+    for i in range(items.shape[1]):
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        np.minimum(row[:, 1:] + np.int16(1), row[:, :-1] + (texts != items[:, i : i + 1]), out=new[:, 1:])
+        new -= idx
+        np.minimum.accumulate(new, axis=1, out=new)
+        row = new + idx
+    return row.min(axis=1)
+
+
 class Items:
     """What the executors need of the items: their words and the index of their seeds."""
 
@@ -136,17 +150,23 @@ class Items:
 
     def verify(self, pairs: np.ndarray, m: int, h: np.ndarray, w: Words, lo: int, out: list) -> None:
         item, start, doc = pairs.T
+        d = allowed(m)
         at = start[:, None] + np.arange(m)[None, :]
         inside = (at >= w.first[doc][:, None]) & (at < w.last[doc][:, None])
         x = np.where(inside, h[np.clip(at, 0, len(h) - 1)], _PAD)
         used, inv = np.unique(item, return_inverse=True)
         y = embed(np.stack([self.words[k] for k in used]))[inv]
-        d = allowed(m)
-        for i in np.flatnonzero(collide(embed(x), y, m)).tolist():
+        hit = np.flatnonzero(collide(embed(x), y, m))
+        if not len(hit):
+            return
+        # what lies outside the text equals no word
+        at = start[hit][:, None] + np.arange(-d, m + d)[None, :]
+        inside = (at >= w.first[doc[hit]][:, None]) & (at < w.last[doc[hit]][:, None])
+        region = np.where(inside, h[np.clip(at, 0, len(h) - 1)], _PAD)
+        near = least_distances(np.stack([self.words[k] for k in used])[inv[hit]], region) <= d
+        for i in hit[near].tolist():
             first, last = int(w.first[doc[i]]), int(w.last[doc[i]])
             a, b = max(first, int(start[i]) - d), min(last, int(start[i]) + m + d)
-            if b - a < m - d:
-                continue
             dist, s, e = best_run(self.words[item[i]], h[a:b])
             if dist <= d:
                 out[lo + doc[i]].append((self.ids[item[i]], dist, a - first + s, a - first + e))
