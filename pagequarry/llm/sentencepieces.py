@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pagequarry.llm.common import ship
 
 MARK = "▁"
-CACHE_SEGMENTS = 500_000
+CACHE_SEGMENTS = 120_000
 _LOADED: dict[str, "PieceCoder"] = {}
 
 

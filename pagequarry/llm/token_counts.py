@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from pagequarry.llm.common import ship
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 _LOADED: dict[str, "WordCounter"] = {}
 
 
