@@ -14,10 +14,10 @@ NEAR = 80
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language go on; ``und`` (no text, no letter) and those unlike every prototype go."""
+    """Documents with a language go on, however short; ``und`` (no text, no letter) go."""
     names, proto = language_id.learn(docs)
     found = language_id.predict(docs, names, proto, keep=True)
-    return found.where("lang_pred <> 'und' and score > 0.1").drop("lang_pred", "score")
+    return found.where("lang_pred <> 'und'").drop("lang_pred", "score")
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

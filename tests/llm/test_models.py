@@ -128,6 +128,19 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(got)
 
 
+def test_language_stage_keeps_short_texts(spark):
+    """Clean texts of one to five words stay; only what has no letter goes."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = [(i, made_up(rng, lang, 200), lang) for i in range(60) for lang in [rng.choice(list(SYLLABLES))]]
+    short = ["Edstou reinan ed for.", "Asos ñboosja ñ oscorr cota.", "A.\nAll rights reserved.", "Avec.", "Erö.", "A.", "Kw zx", "Ja, gut so", "q"]
+    rows += [(100 + i, t, "en") for i, t in enumerate(short)]
+    rows += [(200, None, "en"), (201, "", "en"), (202, "12 !?", "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.stage_language(spark, df, "").collect()} == {i for i, *_ in rows} - {200, 201, 202}
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2**63, 400, dtype=np.uint64)
