@@ -1,7 +1,8 @@
 """Stupid-backoff scores against the corpus' own n-gram counts, without the text's own share.
 
-S(w | v) = c(v w) / c(v) if v w occurs in another text, else BACKOFF * c(w) / N, or BACKOFF / N if w occurs in no
-other; counts leave out the scored text.  A text's score is the sum of ln S over its words.
+S(w | u v) = c(u v w) / c(u v) if u v w occurs in another text, else BACKOFF * S(w | v), and so on down to c(w) / N, where a
+word of no other text counts as one (as BACKOFF, if it is the first of its text).  The context is the ``order`` - 1 words
+before, or as many as there are.  Counts leave out the scored text.  A text's score is the sum of ln S over its words.
 
 The count tables are partitioned by hash range.  Rows are packed: one holds a block's distinct
 n-grams (sorted 64-bit hashes, as differences of six bytes) that fall in one range, with their counts.
@@ -27,20 +28,33 @@ from pagequarry.llm.common import Words, chunks, grams, materialize, mix, partit
 
 BACKOFF, BLOCK_BYTES = 0.4, 16_000_000
 
+#: Words of the longest n-grams of the registered query.
+ORDER = 3
 
-def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word hash, bigram hash with the word before; 0 for a text's first word) of every word."""
-    doc, one, two = [], [], []
+
+def ngrams(texts: list[bytes], order: int):
+    """Part by part of the texts: the text of every word, and for n from 1 to ``order`` the hash of the n-gram that ends there (0 if its text has too few words before)."""
     for lo, hi in chunks(texts):
         w = Words(texts[lo:hi], lower=True)
         h = w.hash
-        g = np.zeros(len(h), dtype=np.uint64)
-        g[1:] = grams(h, 2)
-        g[w.first[w.last > w.first]] = 0
-        doc.append(w.doc + lo)
-        one.append(mix(h ^ np.uint64(0xA5A5A5A5)))
-        two.append(g)
-    return (np.concatenate(doc), np.concatenate(one), np.concatenate(two)) if doc else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64))
+        place = np.arange(len(h)) - w.first[w.doc]
+        every = [mix(h ^ np.uint64(0xA5A5A5A5))]
+        for k in range(2, order + 1):
+            g = np.zeros(len(h), dtype=np.uint64)
+            g[k - 1 :] = grams(h, k)
+            g[place < k - 1] = 0
+            every.append(g)
+        yield w.doc + lo, every
+
+
+def present(every: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([every[0], *(g[g > 0] for g in every[1:])])
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """As ``np.unique``, whose hash table is many times slower than this sort."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])[: len(x)]]
 
 
 def pack(h: np.ndarray) -> bytes:
@@ -92,14 +106,15 @@ def _part() -> int:
     return TaskContext.get().partitionId() << 20
 
 
-def _explode(docs: DataFrame, ranges: int) -> DataFrame:
+def _explode(docs: DataFrame, ranges: int, order: int) -> DataFrame:
     def run(batches):
         part = _part()
         for number, _, texts in blocks(batches, 1):
-            _, one, two = ngrams(texts)
-            h, n = np.unique(np.concatenate([one, two[two > 0]]), return_counts=True)
+            parts = [every for _, every in ngrams(texts, order)]
+            h, n = np.unique(np.concatenate([present(x) for x in parts]), return_counts=True)
             # its words: what the range's share of N is counted by
-            words = np.unique(one)
+            words = distinct(np.concatenate([x[0] for x in parts]))
+            del parts
             cut = np.searchsorted(h, np.array([(r << 64) // ranges for r in range(1, ranges)], dtype=np.uint64)).tolist()
             places = [0, *cut, len(h)]
             total = np.zeros(len(h), dtype=np.int64)
@@ -138,40 +153,43 @@ def _count(packed: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "block bigint, r int, total binary, words bigint")
 
 
-def scores(texts: list[bytes], total: np.ndarray, n: int) -> list[tuple[int, float]]:
+def others(g: np.ndarray, doc: np.ndarray, h: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """How often each n-gram occurs in other texts than its own."""
+    at = np.argsort(g)
+    g = g[at]
+    new = np.concatenate([[True], g[1:] != g[:-1]])[: len(g)]
+    run = np.cumsum(new) - 1
+    _, inv, own = np.unique(run * (int(doc.max(initial=0)) + 1) + doc[at], return_inverse=True, return_counts=True)
+    out = np.empty(len(g), dtype=np.int64)
+    out[at] = total[np.searchsorted(h, g[new])][run] - own[inv]
+    return out
+
+
+def scores(texts: list[bytes], total: np.ndarray, n: int, order: int) -> list[tuple[int, float]]:
     """(words, score) of a block's texts, given the corpus counts of its distinct n-grams in order of hash."""
-    doc, one, two = ngrams(texts)
-    h = np.unique(np.concatenate([one, two[two > 0]]))
+    # only distinct n-grams are held for the whole block; texts are scored part by part
+    h = distinct(np.concatenate([np.zeros(0, dtype=np.uint64), *(distinct(present(every)) for _, every in ngrams(texts, order))]))
     if len(h) != len(total):
         raise RuntimeError("the block differs from the one that was counted")
-    size = np.bincount(doc, minlength=len(texts))
-    if not len(one):
-        return [(0, 0.0)] * len(texts)
-    wide = np.int64(len(texts))
-    i1 = np.searchsorted(h, one).astype(np.int64)
-    i2 = np.searchsorted(h, two).astype(np.int64)
-
-    def others(i: np.ndarray) -> np.ndarray:
-        _, inv, own = np.unique(i * wide + doc, return_inverse=True, return_counts=True)
-        return total[i] - own[inv]
-
-    rest = (n - size[doc]).astype(np.float64)
-    c1 = others(i1)
-    before = np.concatenate([[0], c1[:-1]])
-    has = two > 0
-    c2 = np.zeros(len(one), dtype=np.int64)
-    if has.any():
-        full = i2[has]
-        _, inv, own = np.unique(full * wide + doc[has], return_inverse=True, return_counts=True)
-        c2[has] = total[full] - own[inv]
-    backed = BACKOFF * np.maximum(c1, 1) / np.maximum(rest, 1)
-    first = np.maximum(c1, BACKOFF) / np.maximum(rest, 1)
-    s = np.where(has, np.where(c2 > 0, c2 / np.maximum(before, 1), backed), first)
-    out = np.bincount(doc, weights=np.log(s), minlength=len(texts))
+    size, out = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
+    for doc, every in ngrams(texts, order):
+        if not len(doc):
+            continue
+        words = np.bincount(doc, minlength=len(texts))
+        first = np.concatenate([[True], doc[1:] != doc[:-1]])
+        c = others(every[0], doc, h, total)
+        s = np.maximum(c, np.where(first, BACKOFF, 1)) / np.maximum(n - words[doc], 1)
+        for g in every[1:]:
+            has = np.flatnonzero(g)
+            before, c = c, np.zeros(len(doc), dtype=np.int64)
+            c[has] = others(g[has], doc[has], h, total)
+            s[has] = np.where(c[has] > 0, c[has] / np.maximum(before[has - 1], 1), BACKOFF * s[has])
+        size += words
+        out += np.bincount(doc, weights=np.log(s), minlength=len(texts))
     return list(zip(size.tolist(), out.tolist(), strict=True))
 
 
-def _score(docs: DataFrame, totals: DataFrame, n: int) -> DataFrame:
+def _score(docs: DataFrame, totals: DataFrame, n: int, order: int) -> DataFrame:
     def label(batches):
         part = _part()
         for number, ids, texts in blocks(batches, 1):
@@ -181,7 +199,7 @@ def _score(docs: DataFrame, totals: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([part + number] * k, pa.int64()), pa.array(range(lo, lo + k), pa.int32()), pa.array(ids[x], pa.int64()), pa.array(texts[x], pa.binary())], ["block", "at", "doc_id", "body"])
 
     def settle(total: list[bytes], ids: list, texts: list[bytes]):
-        got = scores(texts, np.concatenate([counts(t) for t in total]) if total else np.zeros(0, dtype=np.int64), n)
+        got = scores(texts, np.concatenate([counts(t) for t in total]) if total else np.zeros(0, dtype=np.int64), n, order)
         words, s = [g[0] for g in got], [g[1] for g in got]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.int64()), pa.array(s, pa.float64()), pa.array([b / a if a else None for a, b in got], pa.float64())], ["doc_id", "n_words", "score", "mean_score"])
 
@@ -207,10 +225,10 @@ def _score(docs: DataFrame, totals: DataFrame, n: int) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id bigint, n_words bigint, score double, mean_score double")
 
 
-def backoff_scores(docs: DataFrame) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     """doc_id, n_words, score, mean_score: one row per row of ``docs``."""
     ship(docs.sparkSession)
     src = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    totals = materialize(_count(_explode(src, partitions(docs.sparkSession))), "count")
+    totals = materialize(_count(_explode(src, partitions(docs.sparkSession), order)), "count")
     n = totals.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    return _score(src, totals, n)
+    return _score(src, totals, n, order)

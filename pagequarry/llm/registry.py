@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pagequarry.llm.decontamination import contaminations
 from pagequarry.llm.embedding_dedup import embedding_dedup
 from pagequarry.llm.language_id import language_id
-from pagequarry.llm.lm_scoring import backoff_scores
+from pagequarry.llm.lm_scoring import ORDER, backoff_scores
 from pagequarry.llm.minhash import minhash_dedup
 from pagequarry.llm.pii import find_pii
 from pagequarry.llm.sentencepieces import sentencepiece_encode
@@ -37,7 +37,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_scores(table(spark, sf_dir, "documents"))
+    return backoff_scores(table(spark, sf_dir, "documents"), ORDER)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

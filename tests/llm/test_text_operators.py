@@ -117,6 +117,43 @@ def test_lm(docs, corpus, monkeypatch, block):
         assert got[i][0] == n and got[i][1] == pytest.approx(s, abs=1e-6)
 
 
+def brute_backoff(rows, order):
+    texts = [tuple(bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode()).split()) for _, t in rows]
+    seen = {}
+    for i, ws in enumerate(texts):
+        for k in range(1, order + 1):
+            for j in range(len(ws) - k + 1):
+                by = seen.setdefault(ws[j : j + k], {})
+                by[i] = by.get(i, 0) + 1
+    total = {g: sum(by.values()) for g, by in seen.items()}
+    n = sum(map(len, texts))
+
+    def s(i, context, w):
+        c = lambda g: total[g] - seen[g].get(i, 0)
+        if not context:
+            return max(c((w,)), 1) / max(n - len(texts[i]), 1)
+        if c((*context, w)):
+            return c((*context, w)) / c(context)
+        return 0.4 * s(i, context[1:], w)
+
+    for i, ws in enumerate(texts):
+        first = [max(total[ws[:1]] - seen[ws[:1]][i], 0.4) / max(n - len(ws), 1)] if ws else []
+        yield rows[i][0], len(ws), sum(math.log(x) for x in first + [s(i, ws[max(0, j - order + 1) : j], ws[j]) for j in range(1, len(ws))])
+
+
+@pytest.mark.parametrize("block", [16_000_000, 4000])
+def test_registered_lm_has_trigrams(spark, docs, corpus, monkeypatch, tmp_path, block):
+    from pagequarry.llm import registry
+
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", block)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_words, r.score) for r in registry.op3_lm_scoring(spark, str(tmp_path)).collect()}
+    want = list(brute_backoff(corpus, 3))
+    assert len(got) == len(want)
+    for i, n, s in want:
+        assert got[i][0] == n and got[i][1] == pytest.approx(s, abs=1e-6)
+
+
 def test_pack():
     rng = np.random.default_rng(1)
     for h in (np.sort(rng.integers(0, 2**63, 5000, dtype=np.uint64)), np.array([7], dtype=np.uint64), np.array([0, 2**63], dtype=np.uint64), np.arange(9, dtype=np.uint64)):
