@@ -4,9 +4,9 @@ Texts and items are words (runs of letters and digits, A-Z lower-cased).  A text
 run of its words is within floor(m / 5) word edits of it (0 for items under SHORT words).
 
 Windows of an item's size are taken wherever the text shares an exact run of q words with the item, in line with
-that run; q is what the pigeonhole leaves unedited in any match, so each match has such a window.  The CGK
-random walk embeds window and item into 3m symbols, edits becoming few mismatches; they are a candidate pair if
-in one of TABLES repetitions all SAMPLED positions agree.  Candidates are verified by exact edit distance
+that run; q is what the pigeonhole leaves unedited in any match, so each match has such a window.  Each of WALKS
+independent CGK random walks embeds window and item into 3m symbols, edits becoming few mismatches; they are a
+candidate pair if in one of TABLES repetitions of a walk all SAMPLED positions agree.  Candidates are verified by exact edit distance
 against the window widened by the allowed edits.
 
 Items without words match nothing; null and empty texts have no hits; repeated rows get their own hits.  The
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm.common import NON_ALNUM, Words, chunks, grams, mix, ship
 
-SHORT, TABLES, SAMPLED, LONGEST_SEED, PART_CHARS = 8, 48, 3, 8, 16_000_000
+SHORT, WALKS, TABLES, SAMPLED, LONGEST_SEED, PART_CHARS = 8, 3, 48, 3, 8, 16_000_000
 HITS = "array<struct<item_id:bigint,distance:int,start_word:int,end_word:int>>"
 _PAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -36,13 +36,13 @@ def seed_size(m: int) -> int:
     return min(LONGEST_SEED, max(1, (m - d) // (d + 1)))
 
 
-def embed(x: np.ndarray) -> np.ndarray:
+def embed(x: np.ndarray, walk: int) -> np.ndarray:
     """CGK: rows of m symbols become rows of 3m, the walk at step j moving on by a random bit of the symbol."""
     rows, m = x.shape
     padded = np.concatenate([x, np.full((rows, 1), _PAD, dtype=np.uint64)], axis=1)
     out = np.empty((rows, 3 * m), dtype=np.uint64)
     at, line = np.zeros(rows, dtype=np.int64), np.arange(rows)
-    key = mix(np.arange(1, 3 * m + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    key = mix(np.arange(1, 3 * m + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(walk << 32))
     for j in range(3 * m):
         s = padded[line, at]
         out[:, j] = s
@@ -50,17 +50,17 @@ def embed(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def sampled(m: int) -> np.ndarray:
+def sampled(m: int, walk: int) -> np.ndarray:
     """The positions of each repetition."""
-    rng = np.random.Generator(np.random.PCG64(m))
+    rng = np.random.Generator(np.random.PCG64([m, walk] if walk else m))
     return rng.integers(0, 3 * m, (TABLES, SAMPLED))
 
 
-def collide(x: np.ndarray, y: np.ndarray, m: int) -> np.ndarray:
+def collide(x: np.ndarray, y: np.ndarray, m: int, walk: int) -> np.ndarray:
     """Whether rows of two embeddings meet in a bucket of some repetition."""
     same = x == y
     out = np.zeros(len(x), dtype=bool)
-    for p in sampled(m):
+    for p in sampled(m, walk):
         out |= same[:, p].all(axis=1)
     return out
 
@@ -155,8 +155,12 @@ class Items:
         inside = (at >= w.first[doc][:, None]) & (at < w.last[doc][:, None])
         x = np.where(inside, h[np.clip(at, 0, len(h) - 1)], _PAD)
         used, inv = np.unique(item, return_inverse=True)
-        y = embed(np.stack([self.words[k] for k in used]))[inv]
-        hit = np.flatnonzero(collide(embed(x), y, m))
+        y = np.stack([self.words[k] for k in used])
+        met = np.zeros(len(x), dtype=bool)
+        for walk in range(WALKS):
+            rest = np.flatnonzero(~met)
+            met[rest] = collide(embed(x[rest], walk), embed(y, walk)[inv[rest]], m, walk)
+        hit = np.flatnonzero(met)
         if not len(hit):
             return
         # what lies outside the text equals no word

@@ -203,6 +203,18 @@ def test_decontamination(spark):
     assert decontamination.contaminations(docs.where("false"), bench).collect() == []
 
 
+@pytest.mark.parametrize("m", [8, 17, 21, 38, 44, 52, 53, 100])
+def test_decontamination_at_the_limit(m):
+    """Texts that hold an item with exactly the allowed number of edits."""
+    rng = random.Random(m)
+    trials, made = (400, 10**6) if m < 100 else (200, 10**6)
+    items = [[f"w{rng.randrange(made)}" for _ in range(m)] for _ in range(trials)]
+    pad = lambda: [f"b{rng.randrange(made)}" for _ in range(15)]
+    texts = [" ".join(pad() + edit(rng, ws, decontamination.allowed(m)) + pad()).encode() for ws in items]
+    hits = decontamination.Items([(k, " ".join(ws)) for k, ws in enumerate(items)]).hits(texts)
+    assert sum(any(h[0] == k for h in own) for k, own in enumerate(hits)) >= 0.97 * trials
+
+
 def test_decontamination_in_parts(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "PART_CHARS", 40)
     items = [(k, " ".join(f"w{k}{j}" for j in range(12))) for k in range(6)]
