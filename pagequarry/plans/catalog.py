@@ -147,7 +147,9 @@ def rerank_blend(spark, d):
 
 def hybrid_search(spark, d):
     cfg = EngineConfig(chunking=CHUNKS)
-    return _ranked(engine.search(engine.build(entries(spark, d), cfg), queries_(spark, d), K))
+    q = queries_(spark, d)
+    vectors = rerank.hashing_embedder(q, "query").select("query_id", "embedding")
+    return _ranked(engine.search(engine.build(entries(spark, d), cfg, embedder=rerank.hashing_embedder), q, K, query_vectors=vectors))
 
 
 def _relevance(spark, d):

@@ -30,6 +30,17 @@ def test_flagship(spark):
     assert rows.columns == ["query_id", "rank", "page_id", "score"] and rows.count() == 400
 
 
+def test_flagship_has_a_dense_ranking(spark, monkeypatch):
+    from pagequarry.operators import fusion
+
+    seen, rrf = [], fusion.rrf
+    monkeypatch.setattr(fusion, "rrf", lambda rankings, *rest: seen.extend(rankings) or rrf(rankings, *rest))
+    entry.entry(spark)
+    assert [w for _, w in seen] == [1.0, 1.0, 0.65, 0.07]  # dense, chunk, title, page
+    dense = seen[0][0].where("rank = 1")
+    assert dense.count() == 40 and dense.where("score > 0").count() == 40
+
+
 def test_one_query_agrees_with_its_oracle(spark):
     import duckdb
 
