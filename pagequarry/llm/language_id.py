@@ -1,12 +1,15 @@
 """Language ID by hyperdimensional profiles.
 
-Each letter has a random +-1 vector.  A letter trigram is bound as the product of its letters' vectors,
-rotated by two, one and no places; a text bundles (sums) its trigrams' vectors; a language's prototype
-bundles the unit vectors of its texts.  A text takes the language of the prototype of largest cosine.
-
-Letters are lower-cased; runs of anything else are one gap.  Null text and texts without a letter get
-``und`` and score 0.  The score is that cosine, cut to 0..1; ties go to the language first in order.
-Rows whose ``lang`` is null teach nothing.  With nothing learned every text is ``und``.  One row per row.
+Each letter (code point) has a random +-1 vector of its own, drawn from a hash of the code point.  A letter trigram is bound
+as the product of its letters' vectors, rotated by two, one and no places; a text bundles (sums) its trigrams'
+vectors; a language's prototype bundles the unit vectors of its texts.  A text takes the language of the prototype of
+largest cosine.  Vectors are held as bits and bound by exclusive or, per text: no table of letters or trigrams is kept.
+
+Letters are lower-cased; runs of anything else are one gap, which has a vector too.  Null text and texts without a letter
+get ``und`` and score 0.  The score is that cosine, cut to 0..1; ties go to the language first in order.  Rows
+whose ``lang`` is null teach nothing.  With nothing learned every text is ``und``; an empty table gives no rows.  Texts of
+any length are bundled whole, part by part.  One row per row, repeated rows and null ids included.  Columns of the
+input that are named as the new ones give way to them where columns are kept.
 """
 
 from __future__ import annotations
@@ -16,48 +19,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import crc_mod, ship
+from pagequarry.llm.common import crc_mod, kept, mapped, mix, ship
 
-DIMS, SYMBOLS, SEED = 512, 64, 20240
+DIMS, SEED = 512, 20240
 UNIT = 100_000
-_LOADED: dict[str, np.ndarray] = {}
+#: Trigrams bound at a time, letters of a text cut at a time.
+PART, SLICE = 2048, 1_000_000
 
 
-def letter_table() -> np.ndarray:
-    """By code point: 0 for what is no letter, 1-26 for a-z, else a fixed symbol from 27 on."""
-    if "letters" not in _LOADED:
-        cp = np.arange(0x110000)
-        out = 27 + (cp * 2654435761 % 4294967296 // 65536) % (SYMBOLS - 27)
-        out[97:123] = np.arange(1, 27)
-        out[[i for i in range(0x110000) if not chr(i).isalpha()]] = 0
-        _LOADED["letters"] = out.astype(np.uint32)
-    return _LOADED["letters"]
+def letters() -> np.ndarray:
+    """By code point: whether it is a letter."""
+    own = kept("language")
+    if "letters" not in own:
+        out = np.zeros(0x110000, dtype=bool)
+        for lo in range(0, 0x110000, 4096):
+            out[lo : lo + 4096] = [chr(c).isalpha() for c in range(lo, lo + 4096)]
+        own["letters"] = out
+    return own["letters"]
 
 
-def trigram_vectors() -> np.ndarray:
-    """All bound trigrams: a table of fixed size, SYMBOLS^3 by DIMS."""
-    if "bound" not in _LOADED:
-        one = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2, (SYMBOLS, DIMS)).astype(np.int8) * 2 - 1
-        one = one.astype(np.int8)
-        two = np.roll(one, 2, axis=1)[:, None, :] * np.roll(one, 1, axis=1)[None, :, :]
-        _LOADED["bound"] = (two[:, :, None, :] * one[None, None, :, :]).reshape(SYMBOLS**3, DIMS)
-    return _LOADED["bound"]
+def letter_bits(points: np.ndarray) -> np.ndarray:
+    """DIMS random bits of each code point (0 stands for a gap)."""
+    key = points.astype(np.uint64)[:, None] * np.uint64(DIMS) + np.arange(DIMS // 64, dtype=np.uint64)[None, :]
+    return np.unpackbits(mix(mix(key + np.uint64(SEED)) + np.uint64(SEED)).view(np.uint8).reshape(len(points), -1), axis=1)
 
 
 def bundle(text: str | None) -> np.ndarray | None:
     """The text's bundled vector, None if it has no letter."""
     if not text:
         return None
-    ids = letter_table()[np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32)]
-    ids = np.concatenate([[0], ids, [0]]).astype(np.uint32)
-    ids = ids[np.concatenate([[True], (ids[1:] > 0) | (ids[:-1] > 0)])]
-    if len(ids) < 3:
-        return None
-    code, n = np.unique(ids[:-2] * SYMBOLS**2 + ids[1:-1] * SYMBOLS + ids[2:], return_counts=True)
-    out = np.zeros(DIMS, dtype=np.float32)
-    for lo in range(0, len(code), 4096):
-        out += n[lo : lo + 4096].astype(np.float32) @ trigram_vectors()[code[lo : lo + 4096]].astype(np.float32)
-    return out
+    is_letter = letters()
+    total, any_letter, tail = np.zeros(DIMS), False, np.zeros(1, dtype=np.uint32)
+    for lo in range(0, len(text), SLICE):
+        ids = np.frombuffer(text[lo : lo + SLICE].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        ids = np.where(is_letter[ids], ids, np.uint32(0))
+        any_letter = any_letter or bool(ids.any())
+        ids = np.concatenate([tail, ids, np.zeros(1 if lo + SLICE >= len(text) else 0, dtype=np.uint32)])
+        ids = ids[np.concatenate([[True], (ids[1:] > 0) | (ids[:-1] > 0)])]
+        if len(ids) >= 3:
+            total += _trigrams(ids)
+        tail = ids[-2:]
+    return total if any_letter else None
+
+
+def _trigrams(ids: np.ndarray) -> np.ndarray:
+    points, sym = np.unique(ids, return_inverse=True)
+    k = len(points)
+    sym = sym.astype(np.int64)
+    code, n = np.unique((sym[:-2] * k + sym[1:-1]) * k + sym[2:], return_counts=True)
+    bits = letter_bits(points)
+    two, one, none = (np.packbits(np.roll(bits, s, axis=1), axis=1) for s in (2, 1, 0))
+    ones = np.zeros(DIMS)
+    for lo in range(0, len(code), PART):
+        c = code[lo : lo + PART]
+        bound = np.unpackbits(two[c // (k * k)] ^ one[c // k % k] ^ none[c % k], axis=1)
+        ones += n[lo : lo + PART].astype(np.float32) @ bound.astype(np.float32)
+    return 2.0 * ones - n.sum()
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
@@ -76,8 +93,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
         for lang, v in sorted(total.items()):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMS), pa.array(range(DIMS), pa.int32()), pa.array(v)], ["lang", "dim", "value"])
 
-    src = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col), F.col(lang_col))
-    summed = src.mapInArrow(run, "lang string, dim int, value bigint").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
+    src = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(f"`{text_col}`", f"`{lang_col}`")
+    summed = mapped(src, run, "lang string, dim int, value bigint", "language").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
     rows = summed.collect()  # languages x DIMS integers
     names = sorted({r.lang for r in rows})
     proto = np.zeros((len(names), DIMS))
@@ -106,14 +123,14 @@ def predict(docs: DataFrame, names: list[str], proto: np.ndarray, id_col: str =
                     lang.append("und")
                     score.append(0.0)
                     continue
-                cos = proto @ v.astype(np.float64) / size
+                cos = proto @ v / size
                 best = int(np.argmax(cos))
                 lang.append(names[best])
                 score.append(min(1.0, max(0.0, float(cos[best]))))
             cols = b.columns if keep else b.columns[:1]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[: len(cols)], *new])
 
-    return src.mapInArrow(run, schema)
+    return mapped(src, run, schema, "language")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
