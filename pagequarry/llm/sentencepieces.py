@@ -1,13 +1,15 @@
 """SentencePiece encoding and decoding on the tokenizers library.
 
 The model's protobuf is parsed here (wire format, no generated code): pieces with scores and kinds,
-model type, normaliser flags.  From it a ``tokenizers`` backend is rebuilt: the metaspace marker, merges
-ranked by piece score (BPE) or unigram scores, byte fallback.  No piece of the vocabularies served holds
-a marker after another character - that is checked when loading - so text falls into marker-led segments
-that merge alone; each distinct segment is encoded once, in multithreaded batches, and compared with the
-``sentencepiece`` library (``parity``).
-
-Null text counts as empty: no ids, decoded as "".  Repeated rows give repeated results.
+model type, normaliser settings.  From it a ``tokenizers`` backend is rebuilt: the normaliser (precompiled character map,
+trimming of blanks), the metaspace marker, merges ranked by piece score (BPE) or unigram scores, byte fallback.  Where no piece
+holds a marker after another character - checked when loading - text falls into marker-led segments that
+encode alone; otherwise a text is one segment.  Each distinct segment is encoded once while it stays in a cache bounded in
+entries and bytes, in multithreaded batches, and compared with the ``sentencepiece`` library (``parity``; a text's is that of all its segments,
+which is that of the whole text, as segments encode alone).
+
+Null text counts as empty: no ids, decoded as "".  Texts of any length are encoded whole; an empty table gives no rows.
+Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagequarry.llm.common import ship
+from pagequarry.llm.common import kept, mapped, ship
 
 MARK = "▁"
-CACHE_SEGMENTS = 120_000
-_LOADED: dict[str, "PieceCoder"] = {}
+#: Segments kept in each of two generations, none longer than CACHE_CHARS.
+CACHE_SEGMENTS, CACHE_CHARS = 60_000, 48
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -87,12 +89,10 @@ class PieceCoder:
         with open(path, "rb") as f:
             raw = f.read()
         m = parse_model(raw)
-        if m["charsmap"] or not m["escape"] or m["trim"]:
-            raise ValueError("this backend serves models with identity normalising and kept white space")
-        self.prefix = m["dummy_prefix"]
+        self.prefix, self.escape, self.trim = m["dummy_prefix"], m["escape"], m["trim"]
+        self.charsmap = normalizers.Precompiled(m["charsmap"]) if m["charsmap"] else None
         pieces = m["pieces"]
-        if any(re.search(f"[^{MARK}]{MARK}", p) for p, _, _ in pieces):
-            raise ValueError("a piece holds the marker after another character: segments would not be independent")
+        self.apart = self.escape and not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, _ in pieces)
         ids = {p: i for i, (p, _, _) in enumerate(pieces)}
         unk = pieces[m["unk_id"]][0]
         if m["type"] == 1:
@@ -105,73 +105,105 @@ class PieceCoder:
             ranked.sort()
             model = models.BPE(ids, [(a, b) for *_, a, b in ranked], unk_token=unk, fuse_unk=True, byte_fallback=m["byte_fallback"])
         self.tok = Tokenizer(model)
-        self.tok.normalizer = normalizers.Replace(" ", MARK)
         self.tok.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.segments = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
         #: By id: whether a piece begins with the marker, and the bytes it decodes to.
         self.leads = np.array([p.startswith(MARK) for p, _, _ in pieces])
         self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in pieces]
-        self.cache: dict[str, tuple[np.ndarray, bool]] = {}
+        #: Little-endian 32-bit ids of segments, and the segments that the library encodes otherwise.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.differ: set[str] = set()
+
+    def cleaned(self, text: str) -> str:
+        """The text after the model's character map and trimming."""
+        if self.charsmap is not None:
+            text = self.charsmap.normalize_str(text)
+        return " ".join(w for w in text.split(" ") if w) if self.trim else text
 
     def normal(self, text: str) -> str:
         """What the model sees: blanks as markers, one marker before a text that is not empty."""
-        return (MARK * self.prefix + text.replace(" ", MARK)) if text else ""
+        text = self.cleaned(text)
+        mark = MARK if self.escape else " "
+        return (mark * self.prefix + text.replace(" ", mark)) if text else ""
 
-    def learn(self, fresh: list[str]) -> None:
+    def learn(self, fresh: list[str]) -> dict[str, bytes]:
         """Encodes new segments.  Those with one leading marker are encoded many to a row, the markers telling them apart."""
-        plain = [s for s in fresh if self.prefix and s.count(MARK) == 1 and len(s) > 1 and s[0] == MARK]
+        out: dict[str, bytes] = {}
+        plain = [s for s in fresh if self.apart and self.prefix and s.count(MARK) == 1 and len(s) > 1 and s[0] == MARK]
         rows = [plain[i : i + 200] for i in range(0, len(plain), 200)]
         joined = ["".join(r) for r in rows]
         # The library adds its own leading marker.
         theirs = self.sp.encode([j[1:] for j in joined], num_threads=1) if joined else []
         for r, e, their in zip(rows, self.tok.encode_batch_fast(joined, add_special_tokens=False), theirs, strict=True):
-            ids = np.array(e.ids, dtype=np.int32)
+            ids = np.array(e.ids, dtype="<i4")
             at = np.flatnonzero(self.leads[ids]).tolist()
-            same = e.ids == their
-            if len(at) == len(r):
+            if len(at) == len(r) and e.ids == their:
                 at.append(len(ids))
-                self.cache.update((s, (ids[at[i] : at[i + 1]], same)) for i, s in enumerate(r))
-            else:
-                self.learn_each(r)
-        self.learn_each([s for s in fresh if s not in self.cache])
+                out.update((s, ids[at[i] : at[i + 1]].tobytes()) for i, s in enumerate(r))
+        rest = [s for s in fresh if s not in out]
+        for s, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            if self.theirs(s) != e.ids:
+                self.differ.add(s)
+            out[s] = np.array(e.ids, dtype="<i4").tobytes()
+        return out
 
-    def learn_each(self, fresh: list[str]) -> None:
-        for s, e in zip(fresh, self.tok.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            # A lone marker can't be given to the library, which adds one only before other text.
-            same = not (self.prefix and s[0] == MARK and len(s) > 1) or self.sp.encode(s[1:]) == e.ids
-            self.cache[s] = (np.array(e.ids, dtype=np.int32), same)
+    def theirs(self, s: str) -> list[int]:
+        """The library's ids of a segment.  It adds a marker before other text only, so a lone marker is judged behind a word."""
+        mark = MARK if self.escape else " "
+        if not self.prefix or s[0] != mark:
+            return self.sp.encode(s)
+        if len(s) > 1:
+            return self.sp.encode(s[1:])
+        word = self.sp.encode("a")
+        both = self.sp.encode("a" + s)
+        return both[len(word) :] if both[: len(word)] == word else [-1]
 
     def split(self, text: str) -> list[str]:
-        if self.prefix and text and MARK not in text:
+        if self.prefix and self.apart and text and MARK not in text and self.charsmap is None:
             words = text.split(" ")
             if "" not in words:
                 return [MARK + w for w in words]
-        return self.segments.findall(self.normal(text))
+        text = self.normal(text)
+        return self.segments.findall(text) if self.apart else [text] if text else []
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
-        """Per text: ids, whether decoding gives the text back, whether all segments agree with the library."""
+        """Per text: ids, whether decoding gives the text back (as normalised), whether all segments agree with the library."""
         split = [self.split(t) for t in texts]
-        cache = self.cache
-        fresh = {s for s in set().union(*split) if s not in cache}
-        if fresh and len(cache) > CACHE_SEGMENTS:
-            cache.clear()
-            fresh = set().union(*split)
+        if len(self.young) > CACHE_SEGMENTS:
+            self.old, self.young = self.young, {}
+            self.differ.clear()
+        young, old = self.young, self.old
+        fresh, once = [], []
+        for s in set().union(*split):
+            if s not in young:
+                if (got := old.get(s)) is not None and s not in self.differ:
+                    young[s] = got
+                else:
+                    fresh.append(s)
+                    if len(s) > CACHE_CHARS:
+                        once.append(s)
         if fresh:
-            self.learn(list(fresh))
+            young.update(self.learn(fresh))
         out = []
+        mark = MARK if self.escape else " "
         for t, segs in zip(texts, split, strict=True):
-            got = [cache[s] for s in segs]
-            ids = np.concatenate([g[0] for g in got]) if got else np.zeros(0, dtype=np.int32)
+            ids = np.frombuffer(b"".join([young[s] for s in segs]), dtype="<i4").astype(np.int32)
             back = b"".join(map(self.bytes.__getitem__, ids.tolist()))
-            out.append((ids, back[1 if self.prefix and back else 0 :] == t.replace(MARK, " ").encode(), all([g[1] for g in got])))
+            want = self.cleaned(t).replace(mark, " ").encode()
+            out.append((ids, back[1 if self.prefix and back else 0 :] == want, not self.differ or self.differ.isdisjoint(segs)))
+        for s in once:
+            del young[s]
+            self.differ.discard(s)
         return out
 
 
 def coder(path: str) -> PieceCoder:
-    if path not in _LOADED:
-        _LOADED[path] = PieceCoder(path)
-    return _LOADED[path]
+    own = kept("pieces")
+    if path not in own:
+        own[path] = PieceCoder(path)
+    return own[path]
 
 
 def sentencepiece_encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,8 +222,8 @@ def sentencepiece_encode(docs: DataFrame, model_path: str, id_col: str = "doc_id
     def run(batches):
         c = coder(model_path)
         for b in batches:
-            for lo in range(0, b.num_rows, 400):
-                part = b.slice(lo, 400)
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
                 got = c.encode([t or "" for t in part.column(at).to_pylist()])
                 n = [len(x[0]) for x in got]
                 offsets = np.zeros(len(n) + 1, dtype=np.int32)
@@ -206,7 +238,7 @@ def sentencepiece_encode(docs: DataFrame, model_path: str, id_col: str = "doc_id
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *names])
 
-    return src.mapInArrow(run, schema)
+    return mapped(src, run, schema, "pieces")
 
 
 def decode(ids: DataFrame, model_path: str) -> DataFrame:
@@ -223,4 +255,4 @@ def decode(ids: DataFrame, model_path: str) -> DataFrame:
             text = [None if x is None else t[1 if c.prefix and t else 0 :] for x, t in zip(lists, text, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, "decoded"])
 
-    return ids.mapInArrow(run, schema)
+    return mapped(ids, run, schema, "pieces")

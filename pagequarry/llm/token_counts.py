@@ -2,10 +2,10 @@
 
 Once per Python worker it is proved, by encoding each vocabulary string that closes a word, which
 strings come out as exactly one token.  A pre-token in that set counts one; only the rest are merged
-by the tokenizer, each distinct one once while it stays in a bounded cache.
+by the tokenizer, each distinct one once while it stays in a cache bounded in entries and in their length.
 
 Null text counts as empty (0 bytes, 0 tokens); empty and blank texts have 0 tokens; any length is
-handled whole; repeated rows give repeated results; other columns are ignored.
+handled whole; repeated rows give repeated results; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagequarry.llm.common import ship
+from pagequarry.llm.common import kept, mapped, ship
 
-CACHE_WORDS = 300_000
-_LOADED: dict[str, "WordCounter"] = {}
+#: Pre-tokens kept, and the longest that are.
+CACHE_WORDS, CACHE_CHARS = 200_000, 48
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -41,6 +41,7 @@ class WordCounter:
         suffix = spec["model"].get("end_of_word_suffix") or ""
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.special_strings = special
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         # The file's \s is Unicode white space; \x1c-\x1f, which Python's \s adds, are not in it.
         space = r"\t-\r \x85\xa0  -     　"
@@ -79,7 +80,7 @@ class WordCounter:
         pieces, extra = [], []
         for t in texts:
             n = 0
-            if self.special is not None and "<|" in t:
+            if any(x in t for x in self.special_strings):
                 t, n = self.special.subn(" ", t)
             if self.odd.search(t):  # words outside the alphabets proved here are counted by the tokenizer itself
                 words = self.blank.split(t)
@@ -96,7 +97,11 @@ class WordCounter:
             fresh = {p for p in set().union(*pieces) if p not in known}
         if fresh:
             self.merge(list(fresh))
-        return [n + sum(map(known.__getitem__, ps)) for n, ps in zip(extra, pieces, strict=True)]
+        out = [n + sum(map(known.__getitem__, ps)) for n, ps in zip(extra, pieces, strict=True)]
+        for p in fresh:
+            if len(p) > CACHE_CHARS:
+                del known[p]
+        return out
 
     def merge(self, fresh: list[str]) -> None:
         """Counts of pre-tokens that aren't whole tokens: blanks keep them apart, word ends tell them apart."""
@@ -115,13 +120,18 @@ class WordCounter:
                 self.words.clear()
                 fresh = list(set(words))
             self.words.update((w, len(e.ids)) for w, e in zip(fresh, self.tok.encode_batch(fresh, add_special_tokens=False), strict=True))
-        return [self.words[w] for w in words]
+        out = [self.words[w] for w in words]
+        for w in fresh:
+            if len(w) > CACHE_CHARS:
+                del self.words[w]
+        return out
 
 
 def counter(path: str) -> WordCounter:
-    if path not in _LOADED:
-        _LOADED[path] = WordCounter(path)
-    return _LOADED[path]
+    own = kept("tokens")
+    if path not in own:
+        own[path] = WordCounter(path)
+    return own[path]
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,4 +151,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
             )
 
     src = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
-    return src.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return mapped(src, run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean", "tokens")
