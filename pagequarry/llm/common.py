@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ``[\x20\x09-\x0D]``, the only separators of words in these operators.
 SPACE = np.zeros(256, dtype=bool)
@@ -22,7 +25,13 @@ NON_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] =
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
+
+#: Bounds of the Arrow batches that go to Python workers; whichever the session sets itself stands.
+BATCH_ROWS, BATCH_BYTES = 2_000, 4_000_000
+
+#: What Python workers keep between tasks, by operator; see ``mapped``.
+_CACHES: dict[str, dict] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -38,15 +47,41 @@ def work_dir(spark: SparkSession) -> str:
     return found
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
-    """Cuts lineage: writes ``df`` as Parquet in the shared folder and reads it back."""
+    """Cuts lineage: writes ``df`` as Parquet in the shared folder and reads it back.  The write's shuffle files go with it.
+
+    ``discard`` removes the table once nothing reads it any more; what is left goes when the session ends.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    fs, p = _fs(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._work_path = path
+    return out
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes work tables that ``materialize`` wrote and nothing will read again."""
+    for t in tables:
+        path = getattr(t, "_work_path", None)
+        if path:
+            fs, p = _fs(t.sparkSession, path)
+            fs.delete(p, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -54,6 +89,9 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_pagequarry_shipped", False):
         return
+    for key, default, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", None, BATCH_BYTES)):
+        if sc.getConf().get(key) is None and (default is None or spark.conf.get(key, default) == default):
+            spark.conf.set(key, str(bound))
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     out = os.path.join(tempfile.mkdtemp(prefix="pagequarry-"), "pagequarry_dist.zip")
     with zipfile.ZipFile(out, "w") as z:
@@ -66,6 +104,51 @@ def ship(spark: SparkSession) -> None:
     sc._pagequarry_shipped = True
 
 
+#: Keys with most rows that ``split_join`` sends to all tasks, at most; keys of no more rows than LIGHT are never among them.
+HEAVY, LIGHT = 1000, 256
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row per key and in ``weight`` the number of left's rows under it.
+
+    The HEAVY keys of most rows are broadcast (so many rows and no more), and their rows stay where they are; of the others
+    none holds more than a thousandth of all rows.  ``weight`` is dropped.
+    """
+    hot = right.orderBy(F.desc(weight), key).limit(HEAVY).where(F.col(weight) > LIGHT).drop(weight)
+    tagged = left.join(F.broadcast(hot.select(key, F.lit(True).alias("_heavy"))), key, "left")
+    heavy = tagged.where("_heavy").drop("_heavy").join(F.broadcast(hot), key)
+    light = tagged.where("_heavy is null").drop("_heavy").join(right.drop(weight), key)
+    return heavy.unionByName(light)
+
+
+def kept(owner: str) -> dict:
+    """What ``owner`` keeps in this Python worker from task to task; another owner's task frees it."""
+    return _CACHES.setdefault(owner, {})
+
+
+def mapped(df: DataFrame, run, schema: str, owner: str) -> DataFrame:
+    """``mapInArrow`` for workers that serve several operators: frees what others keep, and gives freed memory back at the end of a task."""
+
+    def guarded(batches):
+        for other in [k for k in _CACHES if k != owner]:
+            del _CACHES[other]
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(guarded, schema)
+
+
+def trim() -> None:
+    """Gives the C library's free memory back to the system."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -95,8 +178,10 @@ _POW: dict[str, np.ndarray] = {}
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _POW or len(_POW["p"]) < n:
-        size = max(n, CHUNK_BYTES + 65536)
+    size = CHUNK_BYTES + 65536
+    if n > size:  # a very long text: not kept
+        return powers(_BASE, n), powers(_INV, n)
+    if "p" not in _POW:
         _POW["p"], _POW["i"] = powers(_BASE, size), powers(_INV, size)
     return _POW["p"], _POW["i"]
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import NON_ALNUM, Words, chunks, grams, mix, ship
+from pagequarry.llm.common import NON_ALNUM, Words, chunks, grams, mapped, mix, ship
 
 SHORT, WALKS, TABLES, SAMPLED, LONGEST_SEED, PART_CHARS = 8, 3, 48, 3, 8, 16_000_000
 HITS = "array<struct<item_id:bigint,distance:int,start_word:int,end_word:int>>"
@@ -198,7 +198,7 @@ def _marked(docs: DataFrame, rows: list[tuple[int, str]], text_col: str) -> Data
             rows = [[dict(zip(("item_id", "distance", "start_word", "end_word"), x, strict=True)) for x in own] for own in hits]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, kind)], [*b.schema.names, "hits"])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema, "decontamination")
 
 
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import materialize, partitions, ship
+from pagequarry.llm.common import discard, mapped, materialize, partitions, ship, split_join
 from pagequarry.llm.components import connected_components
 
 LEADING, BLOCK, LEAF, SAMPLE = 8, 2048, 256, 2048
@@ -124,7 +124,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
             seen += b.num_rows
 
     base = "cid bigint, v array<double>, size bigint, dim int, proj array<double>, cells array<int>"
-    placed = classes.select("cid", "v", "size", "dim").mapInArrow(project, base)
+    placed = mapped(classes.select("cid", "v", "size", "dim"), project, base, "embedding")
     placed = placed.repartitionByRange(partitions(spark), "dim", "cells", "cid").sortWithinPartitions("dim", "cells", "cid")
     placed = materialize(placed.mapInArrow(number, base + ", part int, place bigint"), "ego")
     # Offsets of the sorted parts: one row per partition.

@@ -12,10 +12,14 @@ of classes above the similarity share at least ``match_threshold`` coordinates b
   class under each such value; what that leaves apart within a group is compared block against block,
   on full sets, and only links that join components are put out.
 
-All links are confirmed on full shingle sets: 100 * intersection >= percent * union.
+All links are confirmed on full shingle sets: 100 * intersection >= percent * union.  What can be lost is a link of a pair
+with under ``match_threshold`` equal coordinates, a chance of about 9e-6 for a pair right at the similarity.
+
+Shingles are told apart by 64-bit hashes, sets by 128 bits and their size; classes bear numbers, not hashes.
 
 Null, empty and blank texts have no set and link with nothing; rows with a null id link with nothing.
-Repeated rows are judged by their own text and take the smallest id of their component.
+Repeated rows are judged by their own text and take the smallest id of their component.  Very long texts are one set like
+any other, made a text at a time; no table, no rows.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import Words, chunks, grams, materialize, mix, ship
+from pagequarry.llm.common import Words, chunks, discard, grams, mapped, materialize, mix, partitions, ship, split_join
 from pagequarry.llm.components import connected_components
 
-COORDS, WORDS, LONG, MINOR, MEMBER = 64, 5, 64, 256, 1024
+COORDS, WORDS, LONG = 64, 5, 64
+#: Blocks of sets that are compared with each other hold about so many sets, and about so many bytes, at most.
+MINOR, MEMBER, BLOCK_BYTES = 256, 1024, 2_000_000
 _RNG = np.random.Generator(np.random.PCG64(1010))
 _MUL = _RNG.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, COORDS, dtype=np.uint64)
@@ -76,11 +82,11 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n, k1, k2 (the set's key) and sig of every row."""
+    """doc_id, th (hash of the text), n, k1, k2 (the set's key) and sig of every row."""
 
     def run(batches):
         for b in batches:
-            texts = [(t or "").encode() for t in b.column(1).to_pylist()]
+            texts = [(t or "").encode() for t in b.column(2).to_pylist()]
             for lo, hi in chunks(texts):
                 sets = shingle_sets(texts[lo:hi])
                 sig: list[bytes | None] = [None] * len(sets)
@@ -89,17 +95,18 @@ def _signed(docs: DataFrame) -> DataFrame:
                     for i, s in zip(full, signatures([sets[i] for i in full]), strict=True):
                         sig[i] = s.astype(">u4").tobytes()
                 keys = [set_key(s) for s in sets]
+                ids = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sig, pa.binary())],
-                    ["doc_id", "n", "k1", "k2", "sig"],
+                    [ids.column(0), ids.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sig, pa.binary())],
+                    ["doc_id", "th", "n", "k1", "k2", "sig"],
                 )
 
-    src = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    return src.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, sig binary")
+    src = docs.selectExpr("cast(doc_id as bigint) doc_id", "xxhash64(text) th", "text")
+    return mapped(src, run, "doc_id bigint, th bigint, n bigint, k1 bigint, k2 bigint, sig binary", "minhash")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid and set (bytes of sorted hashes) of the classes in ``wanted`` (rep, cid), from their first texts."""
+    """cid and set (bytes of sorted hashes) of the classes in ``wanted`` (cid, rep, k1, k2, n), from their first texts."""
 
     def run(batches):
         for b in batches:
@@ -113,8 +120,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 )
 
     src = docs.selectExpr("cast(doc_id as bigint) rep", "text").join(wanted.select("rep").distinct(), "rep", "left_semi").select("rep", "text")
-    got = src.mapInArrow(run, "k1 bigint, k2 bigint, n bigint, set binary").selectExpr("xxhash64(k1, k2, n) cid", "set")
-    return got.join(wanted.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
+    got = mapped(src, run, "k1 bigint, k2 bigint, n bigint, set binary", "minhash")
+    return got.join(wanted, ["k1", "k2", "n"]).select("cid", "set").dropDuplicates(["cid"])
 
 
 def _agree(pairs: DataFrame, classes: DataFrame, t: int, percent: int) -> DataFrame:
@@ -129,7 +136,7 @@ def _agree(pairs: DataFrame, classes: DataFrame, t: int, percent: int) -> DataFr
                 x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=">u4").reshape(-1, COORDS) for i in (2, 3))
                 yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= t))
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return mapped(both, run, "a bigint, b bigint", "minhash")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -145,7 +152,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = [similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint")
+    return mapped(both.select("a", "b", "set_a", "set_b"), run, "a bigint, b bigint", "minhash")
 
 
 def block_links(minor: list[dict], member: list[dict], percent: int) -> list[tuple[int, int]]:
@@ -186,17 +193,22 @@ def block_links(minor: list[dict], member: list[dict], percent: int) -> list[tup
 
 
 def _rest(hot: DataFrame, groups: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that the comparison with least and greatest classes left out, within groups of hot classes."""
+    """Links that the comparison with least and greatest classes left out, within groups of hot classes.
+
+    Only classes outside a group's largest component are compared with the group's others, block against block; each pair of
+    blocks is a row of its own, dealt by (group, block, block).
+    """
     comp = found.selectExpr("node cid", "component comp")
-    rows = hot.select("cid").distinct().join(groups.selectExpr("node cid", "component g"), "cid", "left").join(comp, "cid", "left")
-    rows = materialize(rows.selectExpr("cid", "coalesce(g, cid) g", "coalesce(comp, cid) comp"), "hot")
-    sizes = rows.groupBy("g", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("g").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("comps"), F.max("n").alias("most"))
-    main = main.where("comps > 1").selectExpr("g", "main", f"ceil((n - most) / {MINOR}.0) minors", f"ceil(n / {MEMBER}.0) members")
+    rows = hot.select("cid").join(groups.selectExpr("node cid", "component g"), "cid", "left").join(comp, "cid", "left").join(sets, "cid")
+    rows = materialize(rows.selectExpr("cid", "coalesce(g, cid) g", "coalesce(comp, cid) comp", "length(set) bytes"), "hot")
+    sizes = rows.groupBy("g", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    main = sizes.groupBy("g").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max_by("bytes", F.struct("n", "comp")).alias("main_bytes"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("comps"), F.max("n").alias("most"))
+    blocks = f"cast(ceil(greatest({{}} / {BLOCK_BYTES}.0, {{}} / {{}}.0)) as int)"
+    main = main.where("comps > 1").selectExpr("g", "main", blocks.format("(bytes - main_bytes)", "(n - most)", MINOR) + " minors", blocks.format("bytes", "n", MEMBER) + " members")
     rows = rows.join(main, "g").join(sets, "cid")
     item = F.collect_list(F.struct("cid", "comp", "set"))
-    minor = rows.where("comp <> main").withColumn("i", F.expr("pmod(xxhash64(cid), minors)")).groupBy("g", "i").agg(item.alias("x"))
-    member = rows.withColumn("j", F.expr("pmod(xxhash64(cid), members)")).groupBy("g", "j").agg(item.alias("y"))
+    minor = materialize(rows.where("comp <> main").withColumn("i", F.expr("pmod(xxhash64(cid, 1), minors)")).groupBy("g", "i").agg(item.alias("x"), F.max("members").alias("members")), "minor")
+    member = rows.withColumn("j", F.expr("pmod(xxhash64(cid, 2), members)")).groupBy("g", "j").agg(item.alias("y"))
 
     def run(batches):
         for b in batches:
@@ -204,35 +216,42 @@ def _rest(hot: DataFrame, groups: DataFrame, found: DataFrame, sets: DataFrame,
                 links = block_links(b.column(0)[i].as_py(), b.column(1)[i].as_py(), percent)
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
-    return minor.join(member, "g").select("x", "y").mapInArrow(run, "a bigint, b bigint")
+    pairs = minor.selectExpr("g", "i", "explode(sequence(0L, members - 1L)) j")
+    both = pairs.join(minor.drop("members"), ["g", "i"]).join(member, ["g", "j"]).repartition(partitions(hot.sparkSession), "g", "i", "j")
+    return mapped(both.select("x", "y"), run, "a bigint, b bigint", "minhash")
 
 
-def minhash_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+def judged(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, th (xxhash64 of its text), n_shingles, component (its number; null for one row alone), component_id."""
     ship(docs.sparkSession)
     t = match_threshold(percent)
     signed = materialize(_signed(docs), "sig")
     rows = signed.where("n > 0 and doc_id is not null")
+    key = ["k1", "k2", "n"]
     # sig is a function of the key, so any of them will do
-    classes = rows.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("sig").alias("sig"))
-    classes = materialize(classes.selectExpr("xxhash64(k1, k2, n) cid", "rep", "n", "copies", "sig"), "class")
+    classes = rows.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("sig").alias("sig"))
+    # unique numbers; that a lost task numbers its rows anew doesn't matter, as only what is written counts
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "class")
 
     posted = classes.selectExpr("cid", f"posexplode(transform(sequence(0, {COORDS - 1}), i -> xxhash64(i, substring(sig, 4 * i + 1, 4)))) as (pos, key)")
-    common = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    lists = posted.join(common, "key").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("pos", "key", F.expr(f"n > {LONG}").alias("hot")))).alias("v"))
+    # the least and greatest class of each value that more than LONG classes share lead the others
+    common = posted.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("n > 1")
+    common = common.selectExpr("key", f"n > {LONG} hot", f"case when n > {LONG} then lo end lo", f"case when n > {LONG} then hi end hi")
+    lists = posted.join(common, "key").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("pos", "key", "hot", "lo", "hi"))).alias("v"))
     lists = materialize(lists.selectExpr("cid", "v", "filter(v, x -> x.hot) h"), "post")
     prefix = COORDS - t + 1
     # the place of a short value among the class's short values, those that no other class has included
     short = lists.selectExpr("cid", f"explode(filter(v, x -> not x.hot and x.pos - size(filter(h, y -> y.pos < x.pos)) < {prefix})) x").selectExpr("cid", "x.key key")
     pairs = short.selectExpr("key", "cid a").join(short.selectExpr("key", "cid b"), "key").where("a < b").select("a", "b").distinct()
-    hot = lists.where(f"size(h) >= {t}").selectExpr("cid", f"explode(slice(h, 1, {prefix})) x").selectExpr("cid", "x.key key")
-    ends = hot.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"))
-    led = hot.join(ends, "key").selectExpr("cid", "explode(array(lo, hi)) lead").where("cid <> lead").selectExpr("least(cid, lead) a", "greatest(cid, lead) b").distinct()
+    hot = lists.where(f"size(h) >= {t}")
+    led = hot.selectExpr("cid", f"explode(array_distinct(flatten(transform(slice(h, 1, {prefix}), x -> array(x.lo, x.hi))))) lead")
+    led = led.where("cid <> lead").selectExpr("least(cid, lead) a", "greatest(cid, lead) b").distinct()
     led = materialize(led, "led")
 
     agreed = materialize(_agree(pairs.unionByName(led).distinct(), classes, t, percent), "agree")
-    wanted = agreed.selectExpr("explode(array(a, b)) cid").unionByName(led.selectExpr("explode(array(a, b)) cid")).distinct().join(classes.select("cid", "rep"), "cid")
-    sets = materialize(_sets(docs, materialize(wanted, "want")), "set")
+    wanted = agreed.selectExpr("explode(array(a, b)) cid").unionByName(led.selectExpr("explode(array(a, b)) cid")).distinct().join(classes.select("cid", "rep", *key), "cid")
+    want = materialize(wanted, "want")
+    sets = materialize(_sets(docs, want), "set")
     links = materialize(_confirm(agreed, sets, percent), "link")
     found = connected_components(links)
     groups = connected_components(led)
@@ -240,8 +259,34 @@ def minhash_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     found = connected_components(found.selectExpr("node a", "component b").unionByName(more))
 
     # The smallest id of each component, for classes with copies or links.
-    named = classes.select("cid", "rep", "copies").join(found.selectExpr("node cid", "component"), "cid", "left").selectExpr("cid", "rep", "copies", "coalesce(component, cid) component")
+    named = classes.select("cid", *key, "rep", "copies").join(found.selectExpr("node cid", "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("size")).where("size > 1")
-    name = named.select("cid", "component").join(least, "component").select("cid", "component_id")
-    out = signed.selectExpr("doc_id", "n n_shingles", "case when n > 0 and doc_id is not null then xxhash64(k1, k2, n) end cid").join(name, "cid", "left")
-    return out.selectExpr("doc_id", "n_shingles", "coalesce(component_id, doc_id) component_id", "doc_id = coalesce(component_id, doc_id) kept")
+    name = materialize(named.select(*key, "component").join(least, "component").select(*key, "component", "component_id"), "name")
+    discard(classes, lists, led, agreed, want, sets, links, more)
+    out = signed.drop("sig").withColumn("k1", F.expr("case when n > 0 and doc_id is not null then k1 end")).join(name, key, "left")
+    return out.selectExpr("doc_id", "th", "n n_shingles", "component", "coalesce(component_id, doc_id) component_id")
+
+
+def minhash_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    return judged(docs, percent).selectExpr("doc_id", "n_shingles", "component_id", "doc_id = component_id kept")
+
+
+def keep_one(docs: DataFrame, percent: int) -> DataFrame:
+    """``docs`` with one row of each component: of its smallest id, and of rows with that id the one of the least text hash.
+
+    Exact repeats of a row are one row.  Rows without a set or without an id all stay.  Decisions are of rows, by id and text, not of
+    ids: where an id is given twice, a text without near copies stays whatever becomes of the other.
+    """
+    each = materialize(judged(docs, percent).where("component is not null").groupBy("component", "doc_id", "th").agg(F.count("*").alias("n")), "row")
+    best = each.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("best"), F.count("*").alias("d"))
+    named = split_join(each, best, "component", "d")
+    verdict = named.selectExpr("doc_id _pq_id", "th _pq_th", "doc_id <> best.doc_id or th <> best.th _pq_away", "n > 1 _pq_again").where("_pq_away or _pq_again")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn("_pq_id", F.expr("cast(doc_id as bigint)")).withColumn("_pq_th", F.expr("xxhash64(text)"))
+    stay = keyed.join(verdict, ["_pq_id", "_pq_th"], "left_anti").select(*columns)
+    if each.where("n > 1").isEmpty():  # no row is repeated
+        return stay
+    again = keyed.join(verdict.where("not _pq_away"), ["_pq_id", "_pq_th"])
+    once = again.groupBy("_pq_id", "_pq_th").agg(F.first(F.struct(*columns)).alias("_pq_row"))
+    return stay.unionByName(once.select("_pq_row.*"))

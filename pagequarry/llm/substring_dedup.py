@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import Words, chunks, grams, materialize, mix, partitions, powers, ship
+from pagequarry.llm.common import Words, chunks, discard, grams, mapped, materialize, mix, partitions, powers, ship, split_join
 from pagequarry.llm.fm_index import FMIndex, matching_statistics
 
 WINDOW, GRAM, HOT, SHARD_WORDS = 20, 5, 512, 300_000
@@ -91,7 +91,7 @@ def _anchors(docs: DataFrame, with_place: bool) -> DataFrame:
                     cols += [pa.array(run_hashes(h, start, size + WINDOW - 1).view(np.int64)), pa.array(ids[lo + doc]), pa.array((start - w.first[doc]) * 32 + size)]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    return mapped(docs, run, ", ".join(f"{n} bigint" for n in names), "substring")
 
 
 def repeats(sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -142,7 +142,7 @@ def _search(cold: DataFrame) -> DataFrame:
             yield settle(held)
 
     dealt = cold.select("ah", "sh", "doc_id", "start", "words").repartition(partitions(cold.sparkSession), "ah").sortWithinPartitions("ah")
-    return dealt.mapInArrow(run, "ah bigint, sh bigint, mask bigint")
+    return mapped(dealt, run, "ah bigint, sh bigint, mask bigint", "substring")
 
 
 def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     both = docs.join(lists, "doc_id").select("doc_id", "text", "x")
-    return both.mapInArrow(run, "ah bigint, sh bigint, doc_id bigint, start bigint, words binary, wh bigint, wh2 bigint")
+    return mapped(both, run, "ah bigint, sh bigint, doc_id bigint, start bigint, words binary, wh bigint, wh2 bigint", "substring")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -236,4 +236,4 @@ def removed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256", "n_kept_runs", "kept"])
 
     both = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").join(lists, "doc_id", "left").select("doc_id", "text", "x")
-    return both.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, n_kept_runs bigint, kept string")
+    return mapped(both, run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, n_kept_runs bigint, kept string", "substring")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import NON_ALNUM, Words, chunks, crc_mod, mix, ship
+from pagequarry.llm.common import NON_ALNUM, Words, chunks, crc_mod, mapped, mix, ship
 
 BUCKETS, DIM, PASSAGE, SIZES = 1 << 20, 4, 32, (3, 4, 5)
 #: Features of fewer texts' words than this keep no vector.
@@ -228,7 +228,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> bytes
             model = train([r[3].encode() for r in rows], label, prior)
         yield pa.RecordBatch.from_arrays([pa.array([pack(model)], pa.binary())], ["model"])
 
-    got = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    got = mapped(sample.repartition(1), run, "model binary", "toxicity").collect()
     return bytes(got[0].model) if got else b""
 
 
@@ -247,7 +247,7 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
                 s = 1 / (1 + np.exp(-np.clip(m["a"] * worst_passages(texts, m) + m["b"], -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, score double")
+    return mapped(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, "doc_id bigint, score double", "toxicity")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
