@@ -1,16 +1,19 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH and exact edit verification.
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows and exact edit verification.
 
 Texts and items are words (runs of letters and digits, A-Z lower-cased).  A text is contaminated by an item of m words if some
 run of its words is within floor(m / 5) word edits of it (0 for items under SHORT words).
 
-Windows of an item's size are taken wherever the text shares an exact run of q words with the item, in line with
-that run; q is what the pigeonhole leaves unedited in any match, so each match has such a window.  Each of WALKS
-independent CGK random walks embeds window and item into 3m symbols, edits becoming few mismatches; they are a
-candidate pair if in one of TABLES repetitions of a walk all SAMPLED positions agree.  Candidates are verified by exact edit distance
-against the window widened by the allowed edits.
-
-Items without words match nothing; null and empty texts have no hits; repeated rows get their own hits.  The
-items are collected only in parts of at most PART_CHARS characters, each part a pass of its own.
+For each size m of an item, windows of m words begin at every word of a text.  With d = floor(m / 5) edits allowed, some nearest run of a match
+begins with a word that is among the item's first d + 1, and the window that begins there holds at most d words of no item of
+that size; windows without either are passed over, and nothing else is.  Each of WALKS
+independent CGK random walks embeds window and items into 3m symbols, edits becoming few mismatches; each of TABLES
+repetitions of a walk samples SAMPLED positions, and the sampled symbols name a bucket.  The items lie in the buckets, every window looks up
+its own, and window and item that meet in any are a candidate pair.  Candidates are verified by exact edit distance against the
+window widened by the allowed edits.
+
+Items without words match nothing; null and empty texts have no hits; very long texts are searched whole; repeated rows get their own hits; of
+equally near runs the first counts; a column ``hits`` of the texts gives way to the new one; an empty table gives no rows and an
+empty benchmark no hits.  The items are collected only in parts of at most PART_CHARS characters (or one item), each part a pass of its own.
 """
 
 from __future__ import annotations
@@ -20,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import NON_ALNUM, Words, chunks, grams, mapped, mix, ship
+from pagequarry.llm.common import NON_ALNUM, Words, chunks, mapped, mix, ship
 
-SHORT, WALKS, TABLES, SAMPLED, LONGEST_SEED, PART_CHARS = 8, 3, 48, 3, 8, 16_000_000
+SHORT, WALKS, TABLES, SAMPLED, PART_CHARS = 8, 3, 24, 2, 8_000_000
+#: Windows embedded at a time.
+ROWS = 4096
 HITS = "array<struct<item_id:bigint,distance:int,start_word:int,end_word:int>>"
 _PAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -31,38 +36,39 @@ def allowed(m: int) -> int:
     return m // 5 if m >= SHORT else 0
 
 
-def seed_size(m: int) -> int:
-    d = allowed(m)
-    return min(LONGEST_SEED, max(1, (m - d) // (d + 1)))
-
+def embed(x: np.ndarray, walks: int) -> np.ndarray:
+    """CGK: rows of m symbols become, in each walk, rows of 2m, the walk at step j moving on by a random bit of the symbol.
 
-def embed(x: np.ndarray, walk: int) -> np.ndarray:
-    """CGK: rows of m symbols become rows of 3m, the walk at step j moving on by a random bit of the symbol."""
+    The walk's third m steps, in which it stands at the end as a rule, are left out: they are not sampled.
+    """
     rows, m = x.shape
-    padded = np.concatenate([x, np.full((rows, 1), _PAD, dtype=np.uint64)], axis=1)
-    out = np.empty((rows, 3 * m), dtype=np.uint64)
-    at, line = np.zeros(rows, dtype=np.int64), np.arange(rows)
-    key = mix(np.arange(1, 3 * m + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(walk << 32))
-    for j in range(3 * m):
-        s = padded[line, at]
-        out[:, j] = s
-        at = np.minimum(at + (mix(s ^ key[j]) >> np.uint64(63)).astype(np.int64), m)
-    return out
+    flat = np.concatenate([x, np.full((rows, 1), _PAD, dtype=np.uint64)], axis=1).ravel()
+    out = np.empty((2 * m, walks, rows), dtype=np.uint64)
+    at = np.tile(np.arange(rows, dtype=np.int64) * (m + 1), walks)
+    end = at + m
+    shift = np.repeat(np.arange(walks, dtype=np.int64) * len(flat), rows)
+    for j in range(2 * m):
+        if j % 64 == 0:  # 64 random bits of each symbol, one for each of the next steps
+            bits = np.concatenate([mix(flat + np.uint64(0xC2B2AE3D27D4EB4F * (1 + j // 64 + (w << 16)) % (1 << 64))) for w in range(walks)])
+        np.take(flat, at, out=out[j].reshape(-1), mode="clip")
+        at += (bits.take(at + shift, mode="clip") >> np.uint64(j % 64) & np.uint64(1)).view(np.int64)
+        np.minimum(at, end, out=at)
+    return out.transpose(1, 2, 0)
 
 
 def sampled(m: int, walk: int) -> np.ndarray:
     """The positions of each repetition."""
     rng = np.random.Generator(np.random.PCG64([m, walk] if walk else m))
-    return rng.integers(0, 3 * m, (TABLES, SAMPLED))
+    return rng.integers(0, 2 * m, (TABLES, SAMPLED))
 
 
-def collide(x: np.ndarray, y: np.ndarray, m: int, walk: int) -> np.ndarray:
-    """Whether rows of two embeddings meet in a bucket of some repetition."""
-    same = x == y
-    out = np.zeros(len(x), dtype=bool)
-    for p in sampled(m, walk):
-        out |= same[:, p].all(axis=1)
-    return out
+def buckets(x: np.ndarray, m: int, walk: int) -> np.ndarray:
+    """The bucket of each row of an embedding, in each repetition (rows by TABLES)."""
+    h = np.broadcast_to(np.arange(1, TABLES + 1, dtype=np.uint64), (len(x), TABLES))
+    for p in sampled(m, walk).T:
+        h = (h ^ x[:, p]) * np.uint64(0x9FB21C651E98DF25)
+        h ^= h >> np.uint64(29)
+    return h
 
 
 def best_run(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -85,6 +91,8 @@ def best_run(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 def least_distances(items: np.ndarray, texts: np.ndarray) -> np.ndarray:
     """Row by row, the edit distance of the item to the nearest run of the text; all rows advance together."""
+    if not len(texts):
+        return np.zeros(0, dtype=np.int16)
     idx = np.arange(texts.shape[1] + 1, dtype=np.int16)
     row = np.zeros((len(texts), len(idx)), dtype=np.int16)
     for i in range(items.shape[1]):
@@ -97,26 +105,45 @@ def least_distances(items: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return row.min(axis=1)
 
 
+_BITS = np.uint64((1 << 20) - 1)
+
+
 class Items:
-    """What the executors need of the items: their words and the index of their seeds."""
+    """What the executors need of the items: by size their words, the words they use, and the buckets they lie in."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         w = Words([t.encode() for _, t in rows], NON_ALNUM, lower=True)
         h = w.hash
         self.ids = [i for i, _ in rows]
         self.words = [h[a:b] for a, b in zip(w.first, w.last, strict=True)]
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: By 64 sizes: the sizes, and for the low bits of a word's hash the sizes (as bits) whose items use such a word.
+        #: Likewise for the words among an item's first d + 1.
+        self.users: list[tuple[list[int], np.ndarray, np.ndarray]] = []
+        #: By size and walk: the buckets in order, the item in each, and the low bits of those that are full.
+        self.tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.matrix: dict[int, np.ndarray] = {}
+        self.place = np.zeros(len(rows), dtype=np.int64)
         by: dict[int, list[int]] = {}
         for k, x in enumerate(self.words):
             if len(x):
-                by.setdefault(seed_size(len(x)), []).append(k)
-        for q, items in by.items():
-            g = [grams(self.words[k], q) for k in items]
-            key = np.concatenate(g)
-            item = np.repeat(items, [len(x) for x in g])
-            off = np.concatenate([np.arange(len(x)) for x in g])
-            order = np.argsort(key, kind="stable")
-            self.seeds[q] = key[order], item[order], off[order]
+                by.setdefault(len(x), []).append(k)
+        for lo in range(0, len(by), 64):
+            group = sorted(by)[lo : lo + 64]
+            table, first = np.zeros(1 << 20, dtype=np.uint64), np.zeros(1 << 20, dtype=np.uint64)
+            for bit, m in enumerate(group):
+                for t, size in ((table, m), (first, allowed(m) + 1)):
+                    t[np.unique(np.concatenate([self.words[k][:size] for k in by[m]]) & _BITS)] |= np.uint64(1 << bit)
+            self.users.append((group, table, first))
+        for m, items in by.items():
+            own = np.array(items)
+            self.matrix[m] = x = np.stack([self.words[k] for k in items])
+            self.place[own] = np.arange(len(own))
+            for walk, e in enumerate(embed(x, WALKS if allowed(m) else 1)):
+                key = buckets(e, m, walk).ravel()
+                order = np.argsort(key, kind="stable")
+                full = np.zeros(1 << 16, dtype=bool)
+                full[key & np.uint64(0xFFFF)] = True
+                self.tables[m, walk] = key[order], np.repeat(own, TABLES)[order], full
 
     def hits(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
@@ -124,53 +151,67 @@ class Items:
             w = Words(texts[lo:hi], NON_ALNUM, lower=True)
             if not len(w.start):
                 continue
-            h, left = w.hash, w.left()
-            found: dict[int, list[np.ndarray]] = {}
-            for q, (key, item, off) in self.seeds.items():
-                g = grams(h, q)
-                bits = np.zeros(1 << 20, dtype=bool)
-                bits[key & np.uint64((1 << 20) - 1)] = True
-                at = np.flatnonzero(bits[g & np.uint64((1 << 20) - 1)])
-                at = at[left[at] >= q]
-                a, b = np.searchsorted(key, g[at]), np.searchsorted(key, g[at], "right")
-                n = b - a
-                at, a, n = at[n > 0], a[n > 0], n[n > 0]
-                k = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                pos = np.repeat(at, n)
-                found.setdefault(0, []).append(np.stack([item[k], pos - off[k], w.doc[pos]], axis=1))
-            if not found:
-                continue
-            pairs = np.unique(np.concatenate(found[0]), axis=0)
-            size = np.array([len(x) for x in self.words])[pairs[:, 0]]
-            for m in np.unique(size):
-                mine = pairs[size == m]
-                for s in range(0, len(mine), 20_000):
-                    self.verify(mine[s : s + 20_000], int(m), h, w, lo, out)
+            h = w.hash
+            n = len(h)
+            left = w.left()
+            for group, table, first in self.users:
+                # a byte of each word's sizes at a time
+                uses, begins = (np.ascontiguousarray(t[h & _BITS].view(np.uint8).reshape(n, 8).T) for t in (table, first))
+                total = np.zeros(n + 1 + group[-1], dtype=np.int32)
+                for bit, m in enumerate(group):
+                    d = allowed(m)
+                    np.cumsum(uses[bit // 8] >> np.uint8(bit % 8) & np.uint8(1), out=total[1 : n + 1])
+                    total[n + 1 :] = total[n]
+                    at = np.flatnonzero((total[m : m + n] - total[:n] >= m - d) & ((begins[bit // 8] >> np.uint8(bit % 8) & np.uint8(1)) > 0))
+                    # the text's end may cut windows short
+                    at = at[(left[at] >= m) | (left[at] >= m - d) & (total[at + np.minimum(left[at], m)] - total[at] >= m - d)]
+                    for s in range(0, len(at), ROWS):
+                        self.look(at[s : s + ROWS], m, h, w, lo, out)
         return [best(x) for x in out]
 
-    def verify(self, pairs: np.ndarray, m: int, h: np.ndarray, w: Words, lo: int, out: list) -> None:
-        item, start, doc = pairs.T
-        d = allowed(m)
+    def look(self, start: np.ndarray, m: int, h: np.ndarray, w: Words, lo: int, out: list) -> None:
+        """Looks windows up in the buckets and verifies what they meet there."""
         at = start[:, None] + np.arange(m)[None, :]
-        inside = (at >= w.first[doc][:, None]) & (at < w.last[doc][:, None])
-        x = np.where(inside, h[np.clip(at, 0, len(h) - 1)], _PAD)
-        used, inv = np.unique(item, return_inverse=True)
-        y = np.stack([self.words[k] for k in used])
-        met = np.zeros(len(x), dtype=bool)
-        for walk in range(WALKS):
-            rest = np.flatnonzero(~met)
-            met[rest] = collide(embed(x[rest], walk), embed(y, walk)[inv[rest]], m, walk)
-        hit = np.flatnonzero(met)
-        if not len(hit):
+        x = np.where(at < w.last[w.doc[start]][:, None], h[np.minimum(at, len(h) - 1)], _PAD)
+        met: list[np.ndarray] = []
+        for walk, e in enumerate(embed(x, WALKS if allowed(m) else 1)):
+            key, item, full = self.tables[m, walk]
+            own = buckets(e, m, walk)
+            maybe = full[own & np.uint64(0xFFFF)]
+            row, own = np.nonzero(maybe)[0], own[maybe]
+            a, b = np.searchsorted(key, own), np.searchsorted(key, own, "right")
+            k = b - a
+            i = np.repeat(a, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            met.append(np.repeat(row, k) * len(self.ids) + item[i])
+        pair = np.unique(np.concatenate(met))
+        if not len(pair):
             return
+        self.verify(pair % len(self.ids), start[pair // len(self.ids)], m, h, w, lo, out)
+
+    def verify(self, item: np.ndarray, start: np.ndarray, m: int, h: np.ndarray, w: Words, lo: int, out: list) -> None:
+        d, doc = allowed(m), w.doc[start]
         # what lies outside the text equals no word
-        at = start[hit][:, None] + np.arange(-d, m + d)[None, :]
-        inside = (at >= w.first[doc[hit]][:, None]) & (at < w.last[doc[hit]][:, None])
+        at = start[:, None] + np.arange(-d, m + d)[None, :]
+        inside = (at >= w.first[doc][:, None]) & (at < w.last[doc][:, None])
         region = np.where(inside, h[np.clip(at, 0, len(h) - 1)], _PAD)
-        near = least_distances(np.stack([self.words[k] for k in used])[inv[hit]], region) <= d
-        for i in hit[near].tolist():
+        wanted = self.matrix[m][self.place[item]]
+        # all but d of an item's words must be there in any order
+        there = np.zeros(wanted.shape, dtype=bool)
+        for j in range(region.shape[1]):
+            there |= wanted == region[:, j : j + 1]
+        near = np.flatnonzero(there.sum(axis=1) >= m - d)
+        near = near[least_distances(wanted[near], region[near]) <= d]
+        if not len(near):
+            return
+        # windows next to each other that near one item are measured as one region
+        order = near[np.lexsort((start[near], item[near]))]
+        item, start, doc = item[order], start[order], doc[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] - start[:-1] > d + 1)
+        head = np.flatnonzero(new)
+        for i, j in zip(head.tolist(), np.append(head[1:], len(order)).tolist(), strict=True):
             first, last = int(w.first[doc[i]]), int(w.last[doc[i]])
-            a, b = max(first, int(start[i]) - d), min(last, int(start[i]) + m + d)
+            a, b = max(first, int(start[i]) - d), min(last, int(start[j - 1]) + m + d)
             dist, s, e = best_run(self.words[item[i]], h[a:b])
             if dist <= d:
                 out[lo + doc[i]].append((self.ids[item[i]], dist, a - first + s, a - first + e))
@@ -205,12 +246,20 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """``docs`` with a column ``hits``: the nearest run of words for each item that is within its allowed edits."""
     ship(docs.sparkSession)
     items = benchmark.selectExpr("cast(item_id as bigint) item_id", "text").where("item_id is not null and text is not null")
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    parts = -(-chars // PART_CHARS) or 1
+    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    # parts by a hash come out uneven: half the bound on average, and a check of each
+    parts = -(-2 * total // PART_CHARS) or 1
+    while parts > 1:
+        over = items.groupBy(F.expr(f"pmod(xxhash64(item_id), {parts})")).agg(F.sum(F.length("text")).alias("n"), F.countDistinct("item_id").alias("k")).where(f"n > {PART_CHARS} and k > 1")
+        if over.isEmpty():
+            break
+        parts *= 2
     src = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c != "hits"])
     out = None
     for p in range(parts):
         rows = items.where(F.expr(f"pmod(xxhash64(item_id), {parts}) = {p}")).collect()
+        if out is not None and not rows:
+            continue
         if out is None:
             out = _marked(src, [tuple(r) for r in rows], text_col)
         else:
