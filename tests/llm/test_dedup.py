@@ -137,7 +137,7 @@ def test_match_threshold():
 
 
 def test_embeddings(spark, monkeypatch):
-    monkeypatch.setattr(emb, "BLOCK", 64)
+    monkeypatch.setattr(emb, "BLOCK_BYTES", 64 * 16 * 4)
     monkeypatch.setattr(emb, "LEAF", 8)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 16))
