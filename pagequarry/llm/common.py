@@ -108,17 +108,20 @@ def ship(spark: SparkSession) -> None:
 HEAVY, LIGHT = 1000, 256
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, key: str | list[str], weight: str) -> DataFrame:
     """Inner join of ``left`` with ``right``, which has one row per key and in ``weight`` the number of left's rows under it.
 
-    The HEAVY keys of most rows are broadcast (so many rows and no more), and their rows stay where they are; of the others
-    none holds more than a thousandth of all rows.  ``weight`` is dropped.
+    Left's rows under the HEAVY keys of most rows (so many keys are broadcast, and no more) are dealt over as many salts as there are partitions, and
+    right's rows of these keys are repeated for each salt.  Of the other keys none holds more than a thousandth of all rows.
+    ``weight`` is dropped.
     """
-    hot = right.orderBy(F.desc(weight), key).limit(HEAVY).where(F.col(weight) > LIGHT).drop(weight)
-    tagged = left.join(F.broadcast(hot.select(key, F.lit(True).alias("_heavy"))), key, "left")
-    heavy = tagged.where("_heavy").drop("_heavy").join(F.broadcast(hot), key)
-    light = tagged.where("_heavy is null").drop("_heavy").join(right.drop(weight), key)
-    return heavy.unionByName(light)
+    keys = [key] if isinstance(key, str) else list(key)
+    salts = partitions(left.sparkSession)
+    hot = right.orderBy(F.desc(weight), *keys).limit(HEAVY).where(F.col(weight) > LIGHT).select(*keys, F.lit(True).alias("_heavy"))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("_heavy")
+    once = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copied = right.drop(weight).join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(once)).drop("_heavy")
+    return dealt.join(copied, [*keys, "_salt"]).drop("_salt")
 
 
 def kept(owner: str) -> dict:

@@ -1,4 +1,4 @@
-"""A compressed FM-index over word symbols: wavelet matrix of the BWT, packed bits with block counts."""
+"""A compressed FM-index over word symbols: wavelet matrix of the BWT, packed bits with a third of their size in counts."""
 
 from __future__ import annotations
 
@@ -8,20 +8,22 @@ U = np.uint64
 
 
 class Bits:
-    """A bit vector with rank: 64-bit words and the ones before each."""
+    """A bit vector with rank: 64-bit words, the ones before each run of eight words, and before each word within its run (16 bits)."""
 
     def __init__(self, bits: np.ndarray):
         n = len(bits)
         padded = np.zeros((n // 64 + 1) * 64, dtype=np.uint8)
         padded[:n] = bits
         self.words = np.packbits(padded, bitorder="little").view("<u8")
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words).astype(np.int64))])[:-1]
+        before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words).astype(np.int64))])[:-1]
+        self.run = before[::8].copy()
+        self.inside = (before - np.repeat(self.run, 8)[: len(before)]).astype(np.uint16)
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones in [0, i)."""
         w = i >> 6
         low = (U(1) << (i & 63).astype(np.uint64)) - U(1)
-        return self.before[w] + np.bitwise_count(self.words[w] & low)
+        return self.run[w >> 3] + self.inside[w] + np.bitwise_count(self.words[w] & low)
 
 
 class FMIndex:

@@ -12,7 +12,8 @@ an interval are repeats of the one first in the index.
 Anchors with more than HOT distinct segments (a frequent phrase in ever new surroundings) would crowd one shard;
 their windows are dealt on by the hash of the whole window and settled by minimum.
 
-Null, empty and short texts keep all their words.  Rows with one id count as one document: what is found in any of
+Null, empty and short texts keep all their words; very long texts are judged whole; an empty table gives no rows; other columns are ignored, whatever
+their names.  Words are told apart by 64-bit hashes, segments of one anchor by 64 bits more.  Rows with one id count as one document: what is found in any of
 them goes at the same places in each.  Rows without an id are not compared.
 """
 
@@ -185,11 +186,12 @@ def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """doc_id, start, mask: windows start + i, for each bit i of mask, also start earlier."""
     src = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").where("doc_id is not null and text is not null")
-    twice = _anchors(src, False).groupBy("ah").agg(F.count("*").alias("n")).where("n > 1").select("ah")
-    placed = materialize(_anchors(src, True).join(twice, "ah", "left_semi"), "anchor")
-    distinct = materialize(placed.groupBy("ah", "sh").agg(F.min(F.struct("doc_id", "place")).alias("m")).selectExpr("ah", "sh", "m.doc_id doc_id", "m.place place"), "segment")
+    twice = materialize(_anchors(src, False).groupBy("ah").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    placed = materialize(split_join(_anchors(src, True), twice, "ah", "n"), "anchor")
+    discard(twice)
+    distinct = materialize(placed.groupBy("ah", "sh").agg(F.min(F.struct("doc_id", "place")).alias("m"), F.count("*").alias("n")).selectExpr("ah", "sh", "m.doc_id doc_id", "m.place place", "n"), "segment")
     hot = distinct.groupBy("ah").agg(F.count("*").alias("n")).where(f"n > {HOT}").selectExpr("ah", "true hot")
-    wanted = distinct.join(hot, "ah", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = distinct.drop("n").join(hot, "ah", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     cut = materialize(_cut(src, wanted), "words")
     cold = _search(cut.where("words is not null"))
     window = cut.where("words is null").drop("words").dropDuplicates(["ah", "sh", "start"])
@@ -197,8 +199,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     late = window.join(least, ["wh", "wh2"]).groupBy("ah", "sh").agg(F.collect_list(F.struct("start", (F.struct("doc_id", "start") > F.col("w")).alias("late"))).alias("x"))
     # bits count from the segment's first window
     crowded = late.selectExpr("ah", "sh", "aggregate(x, 0L, (a, y) -> a + if(y.late, shiftleft(1L, cast(y.start - array_min(x.start) as int)), 0L)) mask")
-    masks = distinct.join(cold.unionByName(crowded), ["ah", "sh"]).selectExpr("ah", "sh", "doc_id first_doc", "place first_place", "mask")
-    every = placed.join(masks, ["ah", "sh"]).selectExpr("doc_id", "place div 32 start", "case when doc_id = first_doc and place = first_place then mask else shiftleft(1L, cast(place % 32 as int)) - 1 end mask")
+    masks = materialize(distinct.join(cold.unionByName(crowded), ["ah", "sh"]).selectExpr("ah", "sh", "doc_id first_doc", "place first_place", "mask", "n"), "mask")
+    discard(cut, distinct)
+    # a passage of many documents is one key: its places are dealt over all tasks
+    every = split_join(placed, masks, ["ah", "sh"], "n").selectExpr("doc_id", "place div 32 start", "case when doc_id = first_doc and place = first_place then mask else shiftleft(1L, cast(place % 32 as int)) - 1 end mask")
     return every.where("mask <> 0")
 
 
