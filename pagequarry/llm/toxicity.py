@@ -6,8 +6,9 @@ their vectors.  A passage of PASSAGE words is the mean of its words; the softmax
 worst passage, set to the labels' prior by a two-parameter logistic fit.
 
 Training uses at most ``max_rows`` labelled texts of each class, first in the order of a hash of the id,
-in one executor task.  Null and empty texts score like a passage without words.  Labelled ids that occur
-repeatedly are used once per joined row.  Without both classes every score is 0.
+in one executor task; an id that is given repeatedly counts once, with its text of least hash, and once for each of its labels.  Null and empty texts score like a passage without
+words, very long ones by all their passages; repeated rows and rows with a null id are scored like any other.  Without both classes every
+score is 0; an empty table gives no rows.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -217,7 +218,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> bytes
     for c in (0, 1):
         part = lab.where(f"toxic = {c}").orderBy("place", "doc_id").limit(max_rows)
         bound = part if bound is None else bound.unionByName(part)
-    sample = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").join(F.broadcast(bound), "doc_id").select("place", "doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    bound = bound.distinct()
+    sample = docs.selectExpr("cast(doc_id as bigint) doc_id", "coalesce(text, '') text").join(F.broadcast(bound), "doc_id")
+    # one text for each id, however often it is given: the one of least hash
+    sample = sample.groupBy("place", "doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("place", "doc_id", "toxic", "t.text")
 
     def run(batches):
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]

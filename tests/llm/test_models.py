@@ -99,6 +99,10 @@ def test_toxicity(spark):
     y = {i: x for i, _, x in labels}
     held = [(r.predicted, y[r.doc_id]) for r in got if r.held_out and r.doc_id in y and r.doc_id != 5]
     assert sum(a == b for a, b in held) >= 0.93 * len(held)
+    assert sum(a for a, b in held if b) >= 0.8 * sum(b for _, b in held)
+    ranked = [(r.score, y[r.doc_id]) for r in got if r.held_out and r.doc_id in y and r.doc_id != 5]
+    above = [(a > b) + (a == b) / 2 for a, x in ranked if x for b, z in ranked if not z]
+    assert sum(above) >= 0.95 * len(above)  # area under the curve
     for r in got:
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
     assert {r.score for r in toxicity.toxicity(d, t.where("toxic = 0")).collect()} == {0.0}
