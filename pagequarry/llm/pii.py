@@ -50,6 +50,7 @@ TITLES = r"(?:Mrs?|Ms|Dr|Prof|Sir|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Do
 STREET = "Street|Road|Avenue|Lane|Boulevard|Drive|Court|Square|Terrace|Highway|Parkway"
 STRASSE = "straße|strasse|weg|platz|allee|gasse|ufer|ring"
 RUE = "rue|avenue|boulevard|place|quai|impasse|calle|avenida|plaza|paseo|camino"
+PARTICLES = "(?:de|la|le|los|las|des|del|du)"
 KEYS = r"(?:passwor[dt]|passwd|passphrase|pwd|token|secret|credential|api[_-]?key|access[_-]?key|private[_-]?key|contraseña|mot de passe|kennwort)"
 
 #: What proposes candidates of a kind, and what a text must have to hold any.
@@ -60,18 +61,20 @@ LOOSE = {
     "phone": r"(?<![0-9+.(-])\(?[0-9]{2,4}\)?[\x20.-]{1,2}[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![0-9])",
     "secret": rf"(?<=(?i:{KEYS})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)[^\s\"':=]{{6,256}}|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{24,512}}(?![A-Za-z0-9+/_-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "name": rf"(?<!\p{{L}})(?:{TITLES}\x20(?:\p{{Lu}}\p{{L}}{{1,30}}\x20)?|(?:{GIVEN})\x20(?:\p{{Lu}}\.\x20)?)\p{{Lu}}\p{{L}}{{1,30}}(?!\p{{L}})",
-    "address": rf"(?<![0-9])[0-9]{{1,5}}\x20(?:\p{{Lu}}\p{{L}}{{1,30}}\x20){{1,3}}(?:{STREET})(?!\p{{L}})|(?<!\p{{L}})\p{{Lu}}\p{{Ll}}{{1,40}}(?:{STRASSE})\x20[0-9]{{1,4}}(?![0-9])|(?<!\p{{L}})(?:[0-9]{{1,4}},?\x20)?(?:{RUE})\x20(?:(?:de|la|le|los|las|des|del|du)\x20){{0,2}}\p{{Lu}}\p{{L}}{{1,30}}(?:,?\x20[0-9]{{1,4}})?(?!\p{{L}})",
+    "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{TITLES}\x20(?:\p{{Lu}}\p{{L}}{{1,30}}\x20)?|(?:{GIVEN})\x20(?:\p{{Lu}}\.\x20)?)\p{{Lu}}\p{{L}}{{1,30}}(?!\p{{L}})",
+    "address": rf"(?<![0-9])[0-9]{{1,5}}(?:\x20(?:\p{{Lu}}\p{{L}}{{1,30}}\x20){{1,3}}(?:{STREET})|,?\x20(?:{RUE})\x20(?:{PARTICLES}\x20){{0,2}}\p{{Lu}}\p{{L}}{{1,30}})(?!\p{{L}})|(?<!\p{{L}})(?:(?=\p{{Lu}})\p{{Lu}}\p{{Ll}}{{1,40}}(?:{STRASSE})|(?:{RUE})\x20(?:{PARTICLES}\x20){{0,2}}\p{{Lu}}\p{{L}}{{1,30}},?)\x20[0-9]{{1,4}}(?![0-9])",
 }
 LOOSE_NEEDS = {
     "email": r"\(at\)|\[at\]|\{at\}|\x20at\x20[A-Za-z0-9-]{1,63}(?:\x20?\.|\x20?[(\[]dot[)\]]|\x20dot\x20)",
     "ip": r"[0-9](?:\[\.\]|\(\.\)|\x20\.\x20|\[dot\])[0-9]",
     "card": r"[0-9]{4}[./_][0-9]{4}[./_][0-9]{4}",
     "phone": r"[0-9]{2,4}\)?[\x20.-]{1,2}[0-9]{2,4}[\x20.-][0-9]{2}",
-    "secret": rf"[A-Za-z0-9+/_-]{{24}}|(?i:{KEYS})[\"']?\s{{0,3}}[:=]",
+    "secret": rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{24}}|[:=](?<=(?i:{KEYS})[\"']?\s{{0,3}}[:=])",
     "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}",
-    "name": rf"(?:{TITLES}|{GIVEN})\x20\p{{Lu}}",
-    "address": rf"\p{{L}}\x20(?:{STREET})|(?:{STRASSE})\x20[0-9]|(?:{RUE})\x20[\p{{L}}\x20]{{0,8}}\p{{Lu}}",
+    # two capitalised words in a row
+    "name": r"(?<!\p{L})\p{Lu}\p{L}++\.?\x20\p{Lu}[\p{L}.]",
+    # a number before a capitalised word or a word for a street, or behind the name of one
+    "address": rf"(?<![0-9])[0-9]{{1,5}}+,?\x20(?:\p{{Lu}}\p{{L}}|(?:{RUE})\x20)|\x20[0-9](?<=(?:{STRASSE}|(?:{RUE})\x20[\p{{L}}\x20]{{2,48}},?)\x20[0-9])",
 }
 CUES = {
     "email": "mail|contact|write|reach|address|adresse|correo|courriel|schreib",
