@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import json
+import os
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
 
@@ -70,11 +74,54 @@ class EngineConfig:
         parts = {"chunking": ChunkConfig, "bm25": Bm25Config, "retrieve": RetrieveConfig}
         return cls(**{k: parts[k](**raw.get(k) or {}) for k in parts}, seed=raw.get("seed", 13))
 
+    def flat(self) -> dict[str, Any]:
+        """Every setting by its dotted name."""
+        nested = asdict(self)
+        return {f"{a}.{b}" if isinstance(x, dict) else a: y for a, x in nested.items() for b, y in (x.items() if isinstance(x, dict) else [(a, x)])}
+
+    def patched(self, changes: dict[str, Any]) -> "EngineConfig":
+        """With settings changed by their dotted names; unknown names raise."""
+        nested = asdict(self)
+        for name, value in changes.items():
+            if name not in self.flat():
+                raise KeyError(f"no setting {name!r}")
+            *part, last = name.split(".")
+            (nested[part[0]] if part else nested)[last] = value
+        return EngineConfig.from_dict(nested)
 
-def setting(raw: Any, path: str, default: Any = None) -> Any:
-    """The value at a dotted path; the default where a step is missing, but an explicit null is returned."""
-    for key in path.split("."):
-        if not isinstance(raw, dict) or key not in raw:
-            return default
-        raw = raw[key]
-    return raw
+    @classmethod
+    def load(cls, path: str) -> "EngineConfig":
+        """From a JSON file."""
+        with open(path, encoding="utf-8") as f:
+            return cls.from_dict(json.load(f))
+
+    def save(self, path: str) -> None:
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(asdict(self), f, indent=1, sort_keys=True)
+
+    def for_index(self) -> dict[str, Any]:
+        """What an index depends on; how it is searched is not among it."""
+        return {k: v for k, v in self.flat().items() if k.startswith(("chunking.", "bm25."))}
+
+
+_CURRENT: list[EngineConfig] = []
+
+
+def current() -> EngineConfig:
+    """The settings in force: those of the innermost ``overridden``, else the defaults."""
+    return _CURRENT[-1] if _CURRENT else EngineConfig()
+
+
+@contextmanager
+def overridden(**retrieve: Any) -> Iterator[EngineConfig]:
+    """Retrieval settings changed for as long as the block runs."""
+    _CURRENT.append(current().with_retrieve(**retrieve))
+    try:
+        yield _CURRENT[-1]
+    finally:
+        _CURRENT.pop()
+
+
+def index_folder(given: str | None = None) -> str:
+    """Where the index lies: as given, else the environment's ARTIFACTS_DIR, else ``artifacts``."""
+    return given or os.environ.get("ARTIFACTS_DIR") or "artifacts"

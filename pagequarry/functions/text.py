@@ -62,7 +62,13 @@ def merged_query(query: Column | str, keywords: Column | str) -> Column:
     return F.when((q == k) | (F.size(both) == 0), q).otherwise(F.array_join(both, " "))
 
 
-def page_id(c: Column | str) -> Column:
-    """Digits, blanks around them allowed, as a long; anything else raises when evaluated."""
+def entry_text(title: Column | str, content: Column | str) -> Column:
+    """Title, an empty line and the content, stripped."""
+    return strip_ws(F.concat(_col(title), F.lit("\n\n"), _col(content)))
+
+
+def page_id(c: Column | str, strict: bool = True) -> Column:
+    """Digits, blanks around them allowed, as a long; anything else raises when evaluated, or is null if not ``strict``."""
     s = strip_ws(_col(c).cast("string"))
-    return F.when(s.rlike("^[0-9]+$"), s.cast("long")).otherwise(F.raise_error(F.concat(F.lit("not a page id: "), F.coalesce(s, F.lit("null")))).cast("long"))
+    bad = F.raise_error(F.concat(F.lit("not a page id: "), F.coalesce(s, F.lit("null")))).cast("long") if strict else F.lit(None).cast("long")
+    return F.when(s.rlike("^[0-9]+$"), s.cast("long")).otherwise(bad)

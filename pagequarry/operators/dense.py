@@ -14,8 +14,8 @@ QUERY_BLOCK = 4096
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """queries (query_id, embedding), corpus (page_id, chunk_id, embedding) -> (query_id, rank, page_id, chunk_id, score).
 
-    Each Arrow batch keeps its own top k per query (and ties of the last), so at most k rows per query and batch are shuffled
-    before the final limit.  Query vectors travel with the tasks in blocks of QUERY_BLOCK.  Ties by page_id, chunk_id.  Null vectors
+    Each task keeps its own top k per query (and ties of the last) over all its batches, so at most k rows per query and task are shuffled
+    before the final limit.  Query vectors are broadcast in blocks of QUERY_BLOCK.  Ties by page_id, chunk_id.  Null vectors
     and vectors of another length match nothing.
     """
     parts = -(-queries.count() // QUERY_BLOCK) or 1
@@ -32,20 +32,37 @@ def _block(rows: list, corpus: DataFrame, kind: str, k: int, digits: int) -> Dat
     ids = np.array([r.query_id for r in rows], dtype=object)
     vecs = np.array([list(r.embedding) for r in rows], dtype=np.float64)
     id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
+    sent = corpus.sparkSession.sparkContext.broadcast(vecs)  # QUERY_BLOCK vectors at most
+
+    def best(score: np.ndarray, page: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(score) > k:
+            at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+            # of equals at the end only those first in order can count
+            at = at[np.lexsort((chunk[at], page[at], -score[at]))[:k]]
+            return score[at], page[at], chunk[at]
+        return score, page, chunk
 
     def run(batches):
+        asked = sent.value
+        empty = np.zeros(0, dtype=np.int64)
+        held = [(np.zeros(0), empty, empty)] * len(ids)
         for b in batches:
             v = b.column(2)
-            ok = np.array([x.is_valid and len(x) == vecs.shape[1] for x in v], dtype=bool) if len(ids) else np.zeros(b.num_rows, dtype=bool)
+            ok = np.array([x.is_valid and len(x) == asked.shape[1] for x in v], dtype=bool) if len(ids) else np.zeros(b.num_rows, dtype=bool)
             if not ok.any():
                 continue
             x = np.stack([np.asarray(v[i].values, dtype=np.float64) for i in np.flatnonzero(ok)])
             page, chunk = (np.asarray(b.column(i))[ok] for i in (0, 1))
-            s = np.round(vecs @ x.T, digits)
+            s = np.round(asked @ x.T, digits)
             for q in range(len(ids)):
-                row = s[q]
-                at = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
-                yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(at), id_type), pa.array(page[at]), pa.array(chunk[at]), pa.array(row[at])], ["query_id", "page_id", "chunk_id", "score"])
+                own = best(s[q], page, chunk)
+                held[q] = best(*(np.concatenate([a, c]) for a, c in zip(held[q], own, strict=True)))
+        for lo in range(0, len(ids), 64):
+            part = held[lo : lo + 64]
+            n = [len(h[0]) for h in part]
+            score, page, chunk = (np.concatenate([h[i] for h in part]) for i in range(3))
+            who = [i for i, m in zip(ids[lo : lo + 64].tolist(), n, strict=True) for _ in range(m)]
+            yield pa.RecordBatch.from_arrays([pa.array(who, id_type), pa.array(page, pa.int64()), pa.array(chunk, pa.int64()), pa.array(score, pa.float64())], ["query_id", "page_id", "chunk_id", "score"])
 
     src = corpus.selectExpr("cast(page_id as bigint) page_id", "cast(chunk_id as bigint) chunk_id", "embedding")
     return src.mapInArrow(run, f"query_id {kind}, page_id bigint, chunk_id bigint, score double")

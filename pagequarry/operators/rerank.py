@@ -69,14 +69,46 @@ def cross_encoder(load: Callable[[], Callable[[list, list], list]]) -> Reranker:
 def hashing_embedder(texts: DataFrame, column: str = "text", dims: int = 64) -> DataFrame:
     """A deterministic stand-in for a text model: signed hashed token counts, unit length, as ``embedding`` array<float>; zeros without tokens."""
     t = tokens(F.coalesce(F.col(column), F.lit("")))
-    coded = F.transform(t, lambda x: F.struct(F.pmod(F.xxhash64(x), F.lit(dims)).cast("int").alias("i"), F.when(F.pmod(F.crc32(x.cast("binary")), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate("_coded", F.lit(0.0), lambda acc, x: acc + F.when(x["i"] == i, x["s"]).otherwise(0.0)))
+    coded = F.transform(t, lambda x: F.struct(F.pmod(F.conv(F.substring(F.md5(x.cast("binary")), 1, 6), 16, 10).cast("int"), F.lit(dims)).alias("i"), F.when(F.substring(F.md5(x.cast("binary")), 7, 1) < "8", 1.0).otherwise(-1.0).alias("s")))
+    # what each place adds, one pass over the tokens for a place that any token has
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(F.filter("_coded", lambda x: x["i"] == i), F.lit(0.0), lambda acc, x: acc + x["s"]))
     size = F.sqrt(F.aggregate("_vec", F.lit(0.0), lambda acc, x: acc + x * x))
     out = texts.withColumn("_coded", coded).withColumn("_vec", vec).withColumn("_size", size)
     unit = F.transform("_vec", lambda x: F.when(F.col("_size") > 0, x / F.col("_size")).otherwise(0.0))
     return out.withColumn("embedding", unit.cast("array<float>")).drop("_coded", "_vec", "_size")
 
 
+hashing_embedder.name = "hashing-64"
+
+
+def device() -> str:
+    """"cuda" where a worker has one, else "cpu"."""
+    try:
+        import torch
+    except ImportError:
+        return "cpu"
+    return "cuda" if torch.cuda.is_available() else "cpu"
+
+
+def model_embedder(load: Callable[[str], Callable[[list], list]], name: str) -> Callable[..., DataFrame]:
+    """An embedder from a model: ``load(device)`` runs once per Python worker and gives embed(texts) -> vectors, which are set to unit length."""
+
+    def embed(texts: DataFrame, column: str = "text") -> DataFrame:
+        @F.pandas_udf("array<float>")
+        def vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            import numpy as np
+
+            model = load(device())
+            for t in batches:
+                x = np.asarray(model(t.fillna("").tolist()), dtype=np.float32).reshape(len(t), -1)
+                yield pd.Series(list(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)))
+
+        return texts.withColumn("embedding", vector(column))
+
+    embed.name = name
+    return embed
+
+
 def blend(scored: DataFrame, weight: float, k: int) -> DataFrame:
     """(query_id, rank, page_id, rrf_score, ce) -> the best ``k`` by ce + weight * rrf_score; ties in pool order."""
     total = F.round(F.col("ce") + weight * F.col("rrf_score"), 6)

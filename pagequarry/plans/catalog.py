@@ -6,6 +6,7 @@ Entries are ``documents`` (title: the text up to the first full stop or line end
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,15 @@ from pyspark.sql import functions as F
 from pagequarry.config import ChunkConfig, EngineConfig, RetrieveConfig
 from pagequarry.functions.text import keyword_query, merged_query, page_id, tokens, wrapped
 from pagequarry.operators import bm25, chunking, dense, evaluation, fusion, rerank
-from pagequarry.plans import engine
+from pagequarry.plans import engine, store
 from pagequarry.sources.entries import dev_subset, page_features
 
+#: Written indexes, by session and folder: built once, whatever queries read them.
+_BUILT: dict[tuple, str] = {}
+
 K = 10
+#: Pages without a label that the development subset takes.
+NEGATIVES = 300
 CHUNKS = ChunkConfig(mode="word_windows", chunk_words=140, overlap_words=35)
 
 
@@ -41,6 +47,23 @@ def titles(spark: SparkSession, d: str) -> DataFrame:
     return entries(spark, d).select(F.col("page_id").alias("doc_ord"), "page_id", wrapped("title", "title").alias("text"))
 
 
+def _index(spark: SparkSession, d: str, name: str, docs: Callable) -> bm25.Bm25Index:
+    """The BM25 index of ``docs(spark, d)``, written once in a session."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _BUILT:
+        path = f"{store.scratch(spark)}/index-{uuid.uuid4().hex}"
+        store.forget_at_exit(spark, path)
+        made = bm25.build(docs(spark, d))
+        store.save_bm25(made, path, name)
+        made.unpersist()
+        _BUILT[key] = path
+    return store.load_bm25(spark, _BUILT[key], name)
+
+
+def _text_index(spark, d):
+    return _index(spark, d, "text", texts)
+
+
 def tokenize(spark, d):
     t = tokens("text")
     return table(spark, d, "documents").select("doc_id", F.array_join(t, " ").alias("tokens"), F.size(t).cast("long").alias("n_tokens"))
@@ -71,12 +94,12 @@ def _ranked(df: DataFrame) -> DataFrame:
 
 
 def bm25_topk(spark, d):
-    return _ranked(bm25.search(bm25.build(texts(spark, d)), queries_(spark, d), K))
+    return _ranked(bm25.search(_text_index(spark, d), queries_(spark, d), K))
 
 
 def bm25_topk_padded(spark, d):
     names = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("n_name").alias("query"))
-    return _ranked(bm25.search(bm25.build(texts(spark, d)), names, K, pad_zero_scores=True))
+    return _ranked(bm25.search(_text_index(spark, d), names, K, pad_zero_scores=True))
 
 
 def query_versions(spark, d):
@@ -121,9 +144,13 @@ def page_agg_max_plus_mean_top3(spark, d):
     return _ranked(fusion.page_aggregate(_dense(spark, d, 100)))
 
 
+def bm25_summary(spark, d):
+    return bm25.summary(_text_index(spark, d))
+
+
 def _pool(spark, d, k=20):
-    text = bm25.search(bm25.build(texts(spark, d)), queries_(spark, d), 100)
-    title = bm25.search(bm25.build(titles(spark, d)), queries_(spark, d), 100)
+    text = bm25.search(_text_index(spark, d), queries_(spark, d), 100)
+    title = bm25.search(_index(spark, d, "title", titles), queries_(spark, d), 100)
     return fusion.rrf([(text, 1.0), (title, 0.65)], 20, k)
 
 
@@ -132,7 +159,8 @@ def rrf_fuse(spark, d):
 
 
 def _summaries(spark, d):
-    pairs = _pool(spark, d).join(page_features(entries(spark, d)), "page_id").join(queries_(spark, d), "query_id")
+    pairs = _pool(spark, d).join(page_features(entries(spark, d)), "page_id", "left").join(queries_(spark, d), "query_id")
+    pairs = pairs.withColumn("content", F.coalesce("content", F.lit(""))).withColumn("title", F.coalesce("title", F.lit("")))
     return pairs.withColumn("snippet", rerank.snippet("content", "query"))
 
 
@@ -146,20 +174,34 @@ def rerank_blend(spark, d):
 
 
 def hybrid_search(spark, d):
-    cfg = EngineConfig(chunking=CHUNKS)
-    q = queries_(spark, d)
-    vectors = rerank.hashing_embedder(q, "query").select("query_id", "embedding")
-    return _ranked(engine.search(engine.build(entries(spark, d), cfg, embedder=rerank.hashing_embedder), q, K, query_vectors=vectors))
+    key = (spark.sparkContext.applicationId, d, "hybrid")
+    if key not in _BUILT:
+        _BUILT[key] = f"{store.scratch(spark)}/index-{uuid.uuid4().hex}"
+        store.forget_at_exit(spark, _BUILT[key])
+    index = engine.build(entries(spark, d), EngineConfig(chunking=CHUNKS), _BUILT[key], rerank.hashing_embedder)
+    return _ranked(engine.search(index, queries_(spark, d), K))
 
 
 def _relevance(spark, d):
-    # the stated query set against all rows
-    q, docs = queries_(spark, d), table(spark, d, "documents")
-    return docs.join(q, F.contains("text", "query")).select("query_id", F.col("doc_id").alias("page_id"))
+    """(query_id, page_id): pages that hold the query's text.  They meet on a run of tokens within the query, which any such page has too; then the whole text is looked for."""
+    run = lambda t, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))
+    q = queries_(spark, d).withColumn("t", tokens("query"))
+    # the first and last token may be parts of words in the page; of the runs the longest is rare as a rule
+    inner = F.slice("t", 2, F.greatest(F.size("t") - 2, F.lit(0)))
+    grams = run(inner, 4)
+    longest = F.array_max(F.transform(grams, lambda g: F.struct(F.length(g).alias("n"), g.alias("g"))))["g"]
+    long = q.where("size(t) >= 6").select("query_id", "query", longest.alias("g"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    cut = docs.select("doc_id", "text", F.explode(F.array_distinct(run(tokens("text"), 4))).alias("g"))
+    met = cut.join(long, "g").where(F.contains("text", "query"))
+    # shorter queries have no such run
+    short = docs.join(q.where("size(t) < 6"), F.contains("text", "query"))
+    out = met.select("query_id", F.col("doc_id").alias("page_id")).unionByName(short.select("query_id", F.col("doc_id").alias("page_id")))
+    return out.distinct()
 
 
 def ndcg(spark, d):
-    return evaluation.ndcg(bm25.search(bm25.build(texts(spark, d)), queries_(spark, d), K), _relevance(spark, d), K)
+    return evaluation.ndcg(bm25.search(_text_index(spark, d), queries_(spark, d), K), _relevance(spark, d), K)
 
 
 def mean_ndcg(spark, d):
@@ -172,12 +214,14 @@ def page_features_(spark, d):
 
 def dev_subset_(spark, d):
     positives = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("page_id"))
-    return dev_subset(entries(spark, d), positives, 0).select("page_id", F.length("content").cast("long").alias("n_chars"))
+    return dev_subset(entries(spark, d), positives, NEGATIVES).select("page_id", F.length("content").cast("long").alias("n_chars"))
 
 
 def normalize_page_id(spark, d):
-    padded = F.concat(F.lit(" "), F.col("page_id").cast("string"), F.lit("\t"))
-    return table(spark, d, "pages").select(page_id(padded).alias("page_id"))
+    """Well-formed ids with blanks around them, and malformed ones, which are null."""
+    i = F.col("page_id").cast("string")
+    raw = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" "), i, F.lit("\t"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("-"), i)).otherwise(F.concat(i, F.lit("x")))
+    return table(spark, d, "pages").select(raw.alias("raw"), page_id(raw, strict=False).alias("page_id"))
 
 
 _TOK = "regexp_extract_all(lower({}), '[a-z0-9]+')"
@@ -228,14 +272,22 @@ r AS (SELECT query_id, page_id, rank, 0 ranker, 1.0::DOUBLE w FROM atop UNION AL
 f AS (SELECT query_id, page_id, round(sum(w / (20 + rank)), 9) score, min(ranker * 1000000 + rank) first FROM r GROUP BY ALL),
 pool AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS rank, page_id, score FROM f QUALIFY rank <= 20)"""
 
-_SNIP = f"""{_POOL},
-p AS (SELECT query_id, page_id, rank, score, {_TOK.format("query")} q, {_STRIP.format("title")} title, {_WORDS.format("lower(content)")} w
+_SNIPPETS = f"""p AS (SELECT query_id, page_id, rank, score, {_TOK.format("query")} q, {_STRIP.format("title")} title, {_WORDS.format("lower(content)")} w
   FROM pool JOIN e USING (page_id) JOIN ({_QUERIES}) USING (query_id)),
 x AS (SELECT *, unnest(range(0, greatest(len(w) - 120, 0) + 1, 20)) i FROM p),
 y AS (SELECT *, len(list_filter(w[i + 1 : i + 120], lambda z: list_contains(q, z))) hits FROM x),
 sn AS (SELECT query_id, page_id, rank, score, title, q, array_to_string(w[i + 1 : i + 120], ' ') snippet FROM y
   QUALIFY row_number() OVER (PARTITION BY query_id, page_id ORDER BY hits DESC, i) = 1)"""
 
+_SNIP = f"{_POOL},\n{_SNIPPETS}"
+
+_BLEND = f""", ce AS (SELECT query_id, page_id, rank pool_rank, score rrf, CASE WHEN title <> '' THEN 'Title: ' || title || '. Context: ' || snippet ELSE snippet END summary, list_distinct(q) q FROM sn),
+b AS (SELECT query_id, page_id, pool_rank, round((CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, {_TOK.format("summary")})) / len(q), 6) ELSE 0 END) + 3.0::DOUBLE * rrf, 6) score FROM ce)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pool_rank) AS rank, page_id, score FROM b QUALIFY rank <= {K}"""
+
+_ENTRY_CHUNKS = rf"""SELECT c.doc_id page_id, chunk_id, CASE WHEN {_STRIP.format("title")} = '' AND c.text = '' THEN '' ELSE 'Title: ' || {_STRIP.format("title")} || chr(10) || 'Content: ' || c.text END text FROM c JOIN e ON c.doc_id = e.page_id
+UNION ALL SELECT page_id, -1, 'Title: ' || {_STRIP.format("title")} || chr(10) || 'Content: ' || {_STRIP.format("title")} FROM e WHERE {_STRIP.format("title")} <> ''"""
+
 _NDCG = f"""WITH {_bm25_sql("a", _TEXTS, _QUERIES, K)},
 rel AS (SELECT DISTINCT item_id query_id, doc_id page_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
 gain AS (SELECT query_id, sum(CASE WHEN rank = 1 THEN 1.0 ELSE 1.0 / log2(rank) END) dcg FROM atop JOIN rel USING (query_id, page_id) GROUP BY ALL),
@@ -249,6 +301,49 @@ def _stop_sql() -> str:
     return "[" + ", ".join(f"'{s}'" for s in STOPWORDS) + "]"
 
 
+def _versions_sql() -> str:
+    """CTEs up to oq and mq (query_id, query): queries as asked, and merged with their keywords."""
+    return f"""oq AS (SELECT item_id query_id, {_STRIP.format("text")} query FROM benchmark),
+qt AS (SELECT *, {_TOK.format("query")} t FROM oq),
+kq AS (SELECT *, list_filter(t, lambda x: NOT list_contains({_stop_sql()}, x)) kept FROM qt),
+kv AS (SELECT *, CASE WHEN len(kept) > 0 THEN array_to_string(kept, ' ') ELSE {_STRIP.format("lower(query)")} END keywords FROM kq),
+om AS (SELECT query_id, array_to_string(list(x ORDER BY i), ' ') m FROM (SELECT query_id, x, min(i) i FROM (SELECT query_id, unnest(t) x, generate_subscripts(t, 1) i FROM qt) GROUP BY ALL) GROUP BY query_id),
+mq AS (SELECT query_id, CASE WHEN query = keywords OR m IS NULL THEN query ELSE m END query FROM kv LEFT JOIN om USING (query_id))"""
+
+
+def _pages_sql(p: str, hits: str) -> str:
+    """CTEs up to {p}r(query_id, rank, page_id): pages by the scores of their chunks in ``hits``."""
+    return f"""{p}p AS (SELECT *, row_number() OVER (PARTITION BY query_id, page_id ORDER BY score DESC, rank) place FROM {hits}),
+{p}g AS (SELECT query_id, page_id, round(0.2::DOUBLE * max(score) + 0.8::DOUBLE * avg(score) FILTER (WHERE place <= 3), 9) score, min(rank) first FROM {p}p GROUP BY ALL),
+{p}r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS rank, page_id FROM {p}g)"""
+
+
+def _hashed_sql(p: str, key: str, text: str, source: str) -> str:
+    """CTEs up to {p}e({key}, i, x): unit vectors of hashed tokens, only places that are not zero."""
+    return f"""{p}k AS (SELECT {key}, unnest({_TOK.format(text)}) x FROM {source}),
+{p}v AS (SELECT {key}, CAST('0x' || substr(md5(x), 1, 6) AS INT) % 64 i, sum(CASE WHEN substr(md5(x), 7, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) v FROM {p}k GROUP BY ALL),
+{p}e AS (SELECT {key}, i, CAST(CAST(v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE) x FROM {p}v WHERE v <> 0)"""
+
+
+def _hybrid_sql() -> str:
+    title, deep = _STRIP.format("title"), 5000
+    chunk_docs = "SELECT {'p': page_id, 'c': chunk_id} doc_ord, page_id, text FROM ch"
+    title_docs = f"SELECT page_id doc_ord, page_id, 'Title: ' || {title} || chr(10) || 'Content: ' || {title} AS text FROM e"
+    page_docs = f"SELECT page_id doc_ord, page_id, 'Title: ' || {title} || chr(10) || 'Content: ' || content AS text FROM e"
+    return f"""WITH {_ENTRIES}, {_windows_sql(140, 105)}, ch AS ({_ENTRY_CHUNKS}), {_versions_sql()},
+{_bm25_sql("h", chunk_docs, "SELECT * FROM oq", deep)}, {_bm25_sql("t", title_docs, "SELECT * FROM mq", deep)}, {_bm25_sql("g", page_docs, "SELECT * FROM mq", deep)},
+{_hashed_sql("u", "page_id, chunk_id", "text", "ch")}, {_hashed_sql("a", "query_id", "query", "oq")},
+dot AS (SELECT query_id, page_id, chunk_id, sum(ae.x * ue.x) s FROM ae JOIN ue USING (i) GROUP BY ALL),
+ds AS (SELECT query_id, page_id, chunk_id, round(coalesce(s, 0), 6) score FROM oq CROSS JOIN ch LEFT JOIN dot USING (query_id, page_id, chunk_id)),
+dt AS (SELECT query_id, page_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id, chunk_id) AS rank FROM ds QUALIFY rank <= 4250),
+{_pages_sql("x", "dt")}, {_pages_sql("y", "htop")},
+r AS (SELECT query_id, page_id, rank, 0 ranker, 1.0::DOUBLE w FROM xr UNION ALL SELECT query_id, page_id, rank, 1, 1.0::DOUBLE FROM yr
+  UNION ALL SELECT query_id, page_id, rank, 2, 0.65::DOUBLE FROM ttop UNION ALL SELECT query_id, page_id, rank, 3, 0.07::DOUBLE FROM gtop),
+f AS (SELECT query_id, page_id, round(sum(w / (20 + rank)), 9) score, min(ranker * 1000000 + rank) first FROM r GROUP BY ALL),
+pool AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS rank, page_id, score FROM f QUALIFY rank <= 20),
+{_SNIPPETS}{_BLEND}"""
+
+
 def oracle_sql() -> dict[str, str]:
     b = "WITH " + _bm25_sql("a", _TEXTS, _QUERIES, K)
     nations = "SELECT CAST(n_nationkey AS BIGINT) query_id, n_name query FROM nation"
@@ -272,29 +367,40 @@ SELECT query_id, keywords, CASE WHEN query = keywords OR m IS NULL THEN query EL
         "chunk_overlap": f"""WITH {_windows_sql(60, 60)},
 l AS (SELECT doc_id, chunk_id, text, lag(text) OVER (PARTITION BY doc_id ORDER BY chunk_id) before FROM c)
 SELECT doc_id, chunk_id, CASE WHEN before IS NULL THEN text ELSE array_to_string(list_slice(string_split(before, ' '), greatest(len(string_split(before, ' ')) - 14, 1), len(string_split(before, ' '))), ' ') || ' ' || text END text FROM l""",
-        "entry_chunks": rf"""WITH {_ENTRIES}, {_windows_sql(140, 105)}
-SELECT c.doc_id page_id, chunk_id, CASE WHEN {_STRIP.format("title")} = '' AND c.text = '' THEN '' ELSE 'Title: ' || {_STRIP.format("title")} || chr(10) || 'Content: ' || c.text END text FROM c JOIN e ON c.doc_id = e.page_id
-UNION ALL SELECT page_id, -1, 'Title: ' || {_STRIP.format("title")} || chr(10) || 'Content: ' || {_STRIP.format("title")} FROM e WHERE {_STRIP.format("title")} <> ''""",
+        "entry_chunks": f"WITH {_ENTRIES}, {_windows_sql(140, 105)} {_ENTRY_CHUNKS}",
         "dense_topk": f"WITH {_DENSE.format(k=K)} SELECT * FROM t",
         "page_agg_max": _agg_sql("max(score)"),
         "page_agg_max_plus_mean_top3": _agg_sql("0.2::DOUBLE * max(score) + 0.8::DOUBLE * avg(score) FILTER (WHERE place <= 3)"),
         "rrf_fuse": _POOL + " SELECT query_id, rank, page_id, score FROM pool",
         "snippet": _SNIP + " SELECT query_id, page_id, snippet FROM sn",
-        "rerank_blend": _SNIP
-        + f""", ce AS (SELECT query_id, page_id, rank pool_rank, score rrf, CASE WHEN title <> '' THEN 'Title: ' || title || '. Context: ' || snippet ELSE snippet END summary, list_distinct(q) q FROM sn),
-b AS (SELECT query_id, page_id, pool_rank, round((CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, {_TOK.format("summary")})) / len(q), 6) ELSE 0 END) + 3.0::DOUBLE * rrf, 6) score FROM ce)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pool_rank) AS rank, page_id, score FROM b QUALIFY rank <= {K}""",
+        "rerank_blend": _SNIP + _BLEND,
+        "hybrid_search": _hybrid_sql(),
         "ndcg": _NDCG + " SELECT query_id, ndcg FROM nd",
         "mean_ndcg": _NDCG + " SELECT round(coalesce(avg(ndcg), 0.0), 6) mean_ndcg, count(*) n_queries FROM nd",
         "page_features": f"WITH {_ENTRIES} SELECT page_id, {_STRIP.format('title')} title, lower(content) content FROM e",
-        "dev_subset": "SELECT doc_id page_id, length(text) n_chars FROM documents",
-        "normalize_page_id": "SELECT page_id FROM pages",
+        "bm25_summary": b + " SELECT n n_docs, (SELECT count(*) FROM aidf) n_terms, (SELECT count(*) FROM apost) n_postings, round(avgdl, 6) avgdl FROM ast",
+        "dev_subset": f"""WITH p AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+o AS (SELECT doc_id, text FROM documents ANTI JOIN p USING (doc_id) ORDER BY md5(doc_id || ':13'), doc_id LIMIT {NEGATIVES})
+SELECT doc_id page_id, length(text) n_chars FROM documents SEMI JOIN p USING (doc_id) UNION ALL SELECT doc_id, length(text) FROM o""",
+        "normalize_page_id": r"""WITH r AS (SELECT CASE WHEN page_id % 3 = 0 THEN ' ' || page_id || chr(9) WHEN page_id % 3 = 1 THEN '-' || page_id ELSE page_id || 'x' END AS raw FROM pages)
+SELECT raw, CASE WHEN regexp_matches(raw, '^\s*[0-9]+\s*$') THEN CAST(regexp_extract(raw, '[0-9]+') AS BIGINT) END page_id FROM r""",
+        "paragraph_chunks": rf"""WITH RECURSIVE p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) r, x, len({_WORDS.format("x")}) n
+  FROM (SELECT doc_id, {_STRIP.format("x")} x, i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) x, generate_subscripts(string_split(text, chr(10)), 1) i FROM documents)) WHERE x <> ''),
+s AS (SELECT doc_id, r, x, n, 1 g, n open FROM p WHERE r = 1
+  UNION ALL SELECT p.doc_id, p.r, p.x, p.n, CASE WHEN s.n > 60 OR s.open + p.n > 60 THEN g + 1 ELSE g END, CASE WHEN s.n > 60 OR s.open + p.n > 60 THEN p.n ELSE s.open + p.n END
+  FROM s JOIN p ON p.doc_id = s.doc_id AND p.r = s.r + 1),
+c AS (SELECT doc_id, g, 0 i, string_agg(x, chr(10) || chr(10) ORDER BY r) text FROM s WHERE n <= 60 GROUP BY doc_id, g
+  UNION ALL SELECT doc_id, g, i, array_to_string(w[i * 45 + 1 : i * 45 + 60], ' ') FROM (SELECT doc_id, g, w, unnest(range(0, CAST(ceil((len(w) - 60) / 45.0) AS BIGINT) + 1)) i FROM (SELECT doc_id, g, {_WORDS.format("x")} w FROM s WHERE n > 60))
+  UNION ALL SELECT doc_id, 1, 0, '' FROM documents ANTI JOIN p USING (doc_id)),
+k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g, i) - 1 chunk_id, text, lag(text) OVER (PARTITION BY doc_id ORDER BY g, i) before FROM c),
+l AS (SELECT *, {_WORDS.format("coalesce(before, '')")} b FROM k)
+SELECT doc_id, chunk_id, CASE WHEN len(b) = 0 THEN text ELSE {_STRIP.format("array_to_string(list_slice(b, greatest(len(b) - 14, 1), len(b)), ' ') || ' ' || text")} END text FROM l""",
     }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        tokenize, doc_lengths, postings, bm25_stats, term_df_idf, vocab_ids, bm25_topk, bm25_topk_padded, query_versions,
+        tokenize, doc_lengths, postings, bm25_stats, bm25_summary, term_df_idf, vocab_ids, bm25_topk, bm25_topk_padded, query_versions,
         word_window_chunks, paragraph_chunks, chunk_overlap, entry_chunks, dense_topk, page_agg_max, page_agg_max_plus_mean_top3,
         rrf_fuse, snippet, rerank_blend, hybrid_search, ndcg, mean_ndcg, page_features_, dev_subset_, normalize_page_id,
     )

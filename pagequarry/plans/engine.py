@@ -8,13 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.config import EngineConfig
+from pagequarry.config import EngineConfig, current
 from pagequarry.functions.text import keyword_query, merged_query, strip_ws, wrapped
 from pagequarry.operators import bm25, fusion, rerank
 from pagequarry.operators.chunking import chunk_entries
 from pagequarry.operators.dense import dense_topk
 from pagequarry.plans import store
-from pagequarry.sources.entries import page_features
+from pagequarry.sources.entries import page_features, require_unique
 
 Embedder = Callable[[DataFrame], DataFrame]
 
@@ -27,6 +27,11 @@ class Index:
     page: bm25.Bm25Index
     features: DataFrame
     vectors: DataFrame | None = None  # page_id, chunk_id, embedding
+    embedder: Embedder | None = None  # what made them, and so embeds the queries
+
+
+#: Embedders that an index may name in its manifest.
+BUILT_IN = {rerank.hashing_embedder.name: rerank.hashing_embedder}
 
 
 def indexed_texts(entries: DataFrame, cfg: EngineConfig) -> dict[str, DataFrame]:
@@ -34,8 +39,7 @@ def indexed_texts(entries: DataFrame, cfg: EngineConfig) -> dict[str, DataFrame]
     title = strip_ws(F.coalesce("title", F.lit("")))
     body = F.coalesce("content", F.lit(""))
     chunks = chunk_entries(entries, cfg.chunking)
-    # ids of chunks in order: room for a title chunk and 2^20 bodies per page
-    chunks = chunks.withColumn("doc_ord", F.col("page_id") * (1 << 20) + F.col("chunk_id") + 1)
+    chunks = chunks.withColumn("doc_ord", F.struct("page_id", "chunk_id"))
     return {
         "chunk": chunks.select("doc_ord", "page_id", "chunk_id", "text"),
         "title": entries.select(F.col("page_id").alias("doc_ord"), "page_id", wrapped(title, title).alias("text")),
@@ -43,38 +47,51 @@ def indexed_texts(entries: DataFrame, cfg: EngineConfig) -> dict[str, DataFrame]
     }
 
 
-def build(entries: DataFrame, cfg: EngineConfig = EngineConfig(), path: str | None = None, embedder: Embedder | None = None, vectors: DataFrame | None = None) -> Index:
-    """Lexical indexes over ``entries`` (page_id, title, content), dense vectors from ``embedder`` or as given.
+def build(entries: DataFrame, cfg: EngineConfig | None = None, path: str | None = None, embedder: Embedder | None = None, vectors: DataFrame | None = None) -> Index:
+    """Lexical indexes over ``entries`` (page_id, title, content), dense vectors from ``embedder`` or as given.  Page ids must be unique.
 
-    With ``path`` everything is written there and read back; a finished folder with the same fingerprint is reused.
+    With ``path`` everything is written there and read back; a finished folder with the same fingerprint is reused, and a build that was
+    stopped goes on with the tables it lacks.
     """
-    spark = entries.sparkSession
+    spark, cfg = entries.sparkSession, cfg or current()
+    require_unique(entries)
+    name = getattr(embedder, "name", None) or (embedder and getattr(embedder, "__name__", "embedder"))
     if path is not None:
-        mark = store.fingerprint(entries, cfg)
+        mark = store.fingerprint(entries, cfg, name, vectors)
         if store.exists(spark, f"{path}/manifest.json") and store.load_manifest(spark, path)["fingerprint"] == mark:
-            return load(spark, path, cfg)
+            return load(spark, path, cfg, embedder)
     texts = indexed_texts(entries, cfg)
-    made = {name: bm25.build(t.select("doc_ord", "page_id", "text"), cfg.bm25) for name, t in texts.items()}
     if vectors is None and embedder is not None:
         vectors = embedder(texts["chunk"]).select("page_id", "chunk_id", "embedding")
-    out = Index(cfg, made["chunk"], made["title"], made["page"], page_features(entries), vectors)
     if path is None:
-        return out
-    for name, index in made.items():
-        store.save_bm25(index, path, name)
+        made = {k: bm25.build(t.select("doc_ord", "page_id", "text"), cfg.bm25) for k, t in texts.items()}
+        return Index(cfg, made["chunk"], made["title"], made["page"], page_features(entries), vectors, embedder)
+
+    def lexical(k: str) -> None:
+        index = bm25.build(texts[k].select("doc_ord", "page_id", "text"), cfg.bm25)
+        store.save_bm25(index, path, k)
         index.unpersist()
-    out.features.repartitionByRange("page_id").sortWithinPartitions("page_id").write.mode("overwrite").parquet(f"{path}/features")
+
+    for k in texts:
+        store.step(spark, path, k, mark, lambda k=k: lexical(k))
+    store.step(spark, path, "features", mark, lambda: page_features(entries).repartitionByRange("page_id").sortWithinPartitions("page_id").write.mode("overwrite").parquet(f"{path}/features"))
+    info = {"fingerprint": mark, "settings": cfg.for_index(), "vectors": vectors is not None, "embedder": name}
     if vectors is not None:
-        vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-    store.save_manifest(spark, path, {"fingerprint": mark, "vectors": vectors is not None})
-    return load(spark, path, cfg)
+        store.step(spark, path, "vectors", mark, lambda: vectors.write.mode("overwrite").parquet(f"{path}/vectors"))
+        row = spark.read.parquet(f"{path}/vectors").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+        info |= {"n_vectors": row.n, "dim": row.dim}
+    for k in texts:
+        info[k] = bm25.summary(store.load_bm25(spark, path, k)).first().asDict()
+    store.save_manifest(spark, path, info)
+    return load(spark, path, cfg, embedder)
 
 
-def load(spark: SparkSession, path: str, cfg: EngineConfig = EngineConfig()) -> Index:
+def load(spark: SparkSession, path: str, cfg: EngineConfig | None = None, embedder: Embedder | None = None) -> Index:
+    """A written index.  Built-in embedders are found by the name in the manifest; another must be given for queries to be embedded."""
     info = store.load_manifest(spark, path)
     parts = {name: store.load_bm25(spark, path, name) for name in ("chunk", "title", "page")}
-    vectors = spark.read.parquet(f"{path}/vectors") if info["vectors"] else None
-    return Index(cfg, parts["chunk"], parts["title"], parts["page"], spark.read.parquet(f"{path}/features"), vectors)
+    vectors = store.checked_vectors(spark.read.parquet(f"{path}/vectors")) if info["vectors"] else None
+    return Index(cfg or current(), parts["chunk"], parts["title"], parts["page"], spark.read.parquet(f"{path}/features"), vectors, embedder or BUILT_IN.get(info.get("embedder")))
 
 
 def versions(queries: DataFrame, expand: bool) -> DataFrame:
@@ -88,6 +105,10 @@ def rankings(index: Index, queries: DataFrame, k: int, query_vectors: DataFrame
     """The enabled page rankings (query_id, rank, page_id, score), dense first, with their weights."""
     r = index.cfg.retrieve
     v = versions(queries, r.use_expansion)
+    if query_vectors is None and r.use_dense and index.vectors is not None:
+        if index.embedder is None:
+            raise ValueError("the index has vectors but no embedder: give query_vectors or an embedder, or set use_dense to False")
+        query_vectors = index.embedder(queries.select("query_id", "query"), "query").select("query_id", "embedding")
     original, merged = v.select("query_id", "query"), v.select("query_id", F.col("merged").alias("query"))
     deep = max(k * r.bm25_candidate_multiplier, k)
     out = []
@@ -106,7 +127,8 @@ def rankings(index: Index, queries: DataFrame, k: int, query_vectors: DataFrame
 def search(index: Index, queries: DataFrame, k: int = 10, query_vectors: DataFrame | None = None, reranker: rerank.Reranker | None = rerank.lexical_reranker) -> DataFrame:
     """queries (query_id, query) -> (query_id, rank, page_id, score): one lazy plan.
 
-    Without a reranker the fused order is final.
+    Queries are embedded by the index's embedder unless ``query_vectors`` (query_id, embedding) are given.  Without a reranker the fused
+    order is final.
     """
     r = index.cfg.retrieve
     pool = fusion.rrf(rankings(index, queries, k, query_vectors), r.rrf_k, max(k, r.rerank_cap))

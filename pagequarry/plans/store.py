@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import dataclasses
 import hashlib
 import json
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +13,18 @@ from pagequarry.config import Bm25Config, EngineConfig
 from pagequarry.operators.bm25 import Bm25Index
 
 
-def fingerprint(entries: DataFrame, cfg: EngineConfig) -> str:
-    """Changes with the settings and with any entry, in any order of rows."""
-    row = entries.agg(F.count("*"), F.sum(F.xxhash64("page_id", "title", "content").cast("decimal(38,0)"))).first()
-    return hashlib.sha256(json.dumps([dataclasses.asdict(cfg), str(row[0]), str(row[1])], sort_keys=True).encode()).hexdigest()
+def content_hash(df: DataFrame) -> list[str]:
+    """Changes with any row, in any order of rows; a null differs from an empty string, and columns don't run into each other."""
+    each = F.xxhash64(*[x for c in df.columns for x in (F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit("")))])
+    row = df.agg(F.count("*"), F.sum(each.cast("decimal(38,0)"))).first()
+    return [str(row[0]), str(row[1])]
+
+
+def fingerprint(entries: DataFrame, cfg: EngineConfig, embedder: str | None = None, vectors: DataFrame | None = None) -> str:
+    """Changes with the settings that an index depends on, with any entry, with the embedder and with any vector given."""
+    given = None if vectors is None else content_hash(vectors.selectExpr("page_id", "chunk_id", "cast(embedding as string) embedding"))
+    parts = [cfg.for_index(), content_hash(entries.select("page_id", "title", "content")), embedder, given]
+    return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -40,6 +48,51 @@ def save_bm25(index: Bm25Index, path: str, name: str) -> None:
     index.stats.select("*", F.lit(index.cfg.k1).alias("k1"), F.lit(index.cfg.b).alias("b")).write.mode("overwrite").parquet(f"{path}/{name}/stats")
 
 
+def step(spark: SparkSession, path: str, name: str, mark: str, make) -> None:
+    """Runs ``make`` unless ``name`` was finished for the same fingerprint: a build that was stopped goes on where it was."""
+    done = f"{path}/{name}.done"
+    if exists(spark, done) and _read_text(spark, done) == mark:
+        return
+    make()
+    _write_text(spark, done, mark)
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r.value for r in spark.read.text(path).collect())
+
+
+def copy_bm25(spark: SparkSession, path: str, source: str, target: str) -> None:
+    """The index ``source`` under another name, complete or not at all (``has_bm25``)."""
+    if not has_bm25(spark, path, source):
+        raise FileNotFoundError(f"no complete index {source!r} in {path}")
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = (jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in (source, target))
+    fs = a.getFileSystem(conf)
+    fs.delete(b, True)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, fs, b, False, conf)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset and the master local."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_pagequarry"
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="pagequarry-index-"))
+    return _OWN[0]
+
+
+_OWN: list[str] = []
+
+
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def has_bm25(spark: SparkSession, path: str, name: str) -> bool:
     return all(exists(spark, f"{path}/{name}/{t}/_SUCCESS") for t in ("postings", "terms", "docs", "stats"))
 
@@ -58,4 +111,12 @@ def save_manifest(spark: SparkSession, path: str, info: dict) -> None:
 
 
 def load_manifest(spark: SparkSession, path: str) -> dict:
-    return json.loads("\n".join(r.value for r in spark.read.text(f"{path}/manifest.json").collect()))
+    return json.loads(_read_text(spark, f"{path}/manifest.json"))
+
+
+def checked_vectors(vectors: DataFrame) -> DataFrame:
+    """Raises if vectors differ in length."""
+    dims = vectors.where("embedding is not null").agg(F.min(F.size("embedding")).alias("a"), F.max(F.size("embedding")).alias("b")).first()
+    if dims.a != dims.b:
+        raise ValueError(f"vectors of {dims.a} to {dims.b} dimensions")
+    return vectors

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pagequarry.config import ChunkConfig, EngineConfig, RetrieveConfig, setting
+from pagequarry.config import ChunkConfig, EngineConfig, RetrieveConfig, current, index_folder, overridden
 from pagequarry.functions import text as T
 from pagequarry.operators import chunking, rerank
 
@@ -45,6 +45,8 @@ def test_page_id(spark):
     assert one(spark, T.page_id("p"), p=" 7 ") == 7
     with pytest.raises(Exception, match="not a page id"):
         one(spark, T.page_id("p"), p="-5")
+    assert one(spark, T.page_id("p", strict=False), p="-5") is None
+    assert one(spark, T.entry_text("t", "c"), t=" A", c="b \n") == "A\n\nb"
 
 
 @pytest.mark.parametrize(
@@ -127,9 +129,19 @@ def test_snippet(spark):
         assert got == plain_snippet(text.lower(), set(q.lower().split()), 120, 20)
 
 
-def test_settings():
-    raw = {"a": {"b": None, "c": 3}, "d": 1}
-    assert setting(raw, "a.b", 5) is None and setting(raw, "a.c") == 3 and setting(raw, "a.x", 5) == 5 and setting(raw, "d.e", 5) == 5
+def test_settings(tmp_path, monkeypatch):
+    cfg = EngineConfig().patched({"bm25.k1": 2.0, "seed": 5})
+    assert cfg.flat()["bm25.k1"] == 2.0 and cfg.seed == 5 and cfg.flat()["chunking.mode"] == "paragraph"
+    with pytest.raises(KeyError):
+        cfg.patched({"bm25.k9": 1})
+    cfg.save(f"{tmp_path}/s.json")
+    assert EngineConfig.load(f"{tmp_path}/s.json") == cfg
+    with overridden(rrf_k=7) as inner:
+        assert current() is inner and inner.retrieve.rrf_k == 7
+    assert current() == EngineConfig()
+    assert cfg.for_index() == cfg.with_retrieve(rrf_k=1).for_index()
+    monkeypatch.setenv("ARTIFACTS_DIR", "/x")
+    assert index_folder() == "/x" and index_folder("/y") == "/y"
     with pytest.raises(ValueError):
         RetrieveConfig(page_aggregation="typo")
     with pytest.raises(ValueError):

@@ -1,4 +1,5 @@
 import math
+import os
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -6,8 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pagequarry.config import ChunkConfig, EngineConfig, RetrieveConfig
-from pagequarry.operators import bm25, dense, evaluation, fusion, rerank
-from pagequarry.plans import engine
+from pagequarry.operators import ann, bm25, dense, evaluation, fusion, rerank
+from pagequarry.plans import engine, store
 from pagequarry.sources import entries as src
 from pagequarry.streaming.chunks import stream_chunks
 
@@ -125,8 +126,16 @@ def test_search_end_to_end(spark, entries, tmp_path):
     path = str(tmp_path / "index")
     stored = engine.build(entries, path=path, embedder=rerank.hashing_embedder)
     assert sorted(rows) == sorted(engine.search(stored, q, 3, vectors).collect())
-    engine.build(entries, path=path)  # the same fingerprint: reused, vectors and all
-    assert engine.load(spark, path).vectors is not None
+    stamp = f"{path}/chunk/postings/_SUCCESS"
+    before = os.stat(stamp).st_mtime_ns
+    again = engine.build(entries, EngineConfig().with_retrieve(rrf_k=9), path, rerank.hashing_embedder)  # how it is searched is not in the fingerprint
+    assert os.stat(stamp).st_mtime_ns == before and again.cfg.retrieve.rrf_k == 9
+    assert sorted(rows) == sorted(engine.search(engine.load(spark, path), q, 3).collect())  # the queries are embedded by the manifest's embedder
+    info = store.load_manifest(spark, path)
+    assert info["n_vectors"] == again.vectors.count() and info["dim"] == 64 and info["page"]["n_docs"] == 4 and info["embedder"] == "hashing-64"
+    plain = engine.build(entries, path=path)  # no vectors asked for: not the old ones
+    assert plain.vectors is None
+    assert engine.build(entries, path=path, embedder=rerank.hashing_embedder).vectors is not None
     changed = engine.build(entries.where("page_id < 40"), path=path)
     assert changed.vectors is None and changed.page.stats.first().n_docs == 3
 
@@ -148,9 +157,12 @@ def test_sources(spark, tmp_path):
     (tmp_path / "q.json").write_text('[{"query_id": "a",\n "query": "x", "relevant_page_ids": ["3", "3", "4"]}]')
     assert src.read_queries(spark, str(tmp_path / "q.json")).first().relevant_page_ids == [3, 3, 4]
     assert src.read_queries(spark, str(tmp_path / "q.json"), distinct=True).first().relevant_page_ids == [3, 4]
+    (tmp_path / "e/z.json").write_text("{ no json")
+    with pytest.raises(Exception):
+        src.read_entries(spark, str(tmp_path / "e")).collect()
     twice = spark.createDataFrame([(1, "a", "b"), (1, "c", "d")], "page_id long, title string, content string")
-    with pytest.raises(Exception, match="given twice"):
-        src.unique_entries(twice).collect()
+    with pytest.raises(ValueError, match="given twice"):
+        engine.build(twice)
 
 
 def test_dev_subset(spark, entries):
@@ -174,3 +186,100 @@ def test_plan_prunes_and_limits(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     ranked = bm25.top(bm25.scores(bm25.build(docs), ask(spark, "the")), 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in ranked and "Cartesian" not in ranked
+
+
+def test_stopped_build_goes_on(spark, entries, tmp_path, monkeypatch):
+    path = str(tmp_path / "i")
+    monkeypatch.setattr(store, "save_manifest", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        engine.build(entries, path=path)
+    monkeypatch.undo()
+    stamp = f"{path}/title/postings/_SUCCESS"
+    before = os.stat(stamp).st_mtime_ns
+    assert engine.build(entries, path=path).title.stats.first().n_docs == 4
+    assert os.stat(stamp).st_mtime_ns == before
+    store.copy_bm25(spark, path, "chunk", "alias")
+    assert store.load_bm25(spark, path, "alias").terms.count() == store.load_bm25(spark, path, "chunk").terms.count()
+    with pytest.raises(FileNotFoundError):
+        store.copy_bm25(spark, path, "none", "alias")
+
+
+def test_vectors_without_embedder(spark, entries):
+    made = engine.build(entries, vectors=rerank.hashing_embedder(engine.indexed_texts(entries, EngineConfig())["chunk"]).select("page_id", "chunk_id", "embedding"))
+    with pytest.raises(ValueError, match="no embedder"):
+        engine.search(made, ask(spark, "cat"), 3)
+
+
+def test_null_and_shifted_columns_differ(spark):
+    a, b, c = ([(1, None, "a")], [(1, "a", None)], [(1, "", "a")])
+    marks = {store.fingerprint(spark.createDataFrame(x, "page_id long, title string, content string"), EngineConfig()) for x in (a, b, c)}
+    assert len(marks) == 3
+
+
+def test_model_embedder(spark, entries):
+    def load(device):
+        assert device in ("cpu", "cuda")
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+    embedder = rerank.model_embedder(load, "lengths")
+    made = engine.build(entries, embedder=embedder)
+    v = made.vectors.first().embedding
+    assert abs(sum(x * x for x in v) - 1) < 1e-6
+    assert engine.search(made, ask(spark, "cat"), 2).count() == 2
+
+
+def test_large_page_ids(spark):
+    big = spark.createDataFrame([(2**62, "Cat", "the cat"), (2**43, "Dog", "the dog")], "page_id long, title string, content string")
+    assert engine.run(engine.build(big), ["cat"])[0][0] == 2**62
+
+
+def test_cells_find_most_of_the_nearest(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    corpus = e.selectExpr("vec_id div 4 page_id", "vec_id chunk_id", "embedding")
+    q = e.where("vec_id % 50 = 0").selectExpr("vec_id query_id", "embedding")
+    index = ann.build(corpus.unionByName(corpus.selectExpr("-1 page_id", "-1 chunk_id", "cast(null as array<float>) embedding").limit(1)))
+    assert index.rows.count() == ann.SPILL * corpus.count()
+    exact = {(r.query_id, r.chunk_id): r.score for r in dense.dense_topk(q, corpus, 10).collect()}
+    found = {(r.query_id, r.chunk_id): r.score for r in ann.search(index, q, 10).collect()}
+    both = set(exact) & set(found)
+    assert len(both) >= 0.9 * len(exact) and all(abs(exact[x] - found[x]) <= 2e-6 for x in both)
+    assert {(r.query_id, r.chunk_id) for r in ann.search(index, q, 10, probes=ann.CELLS).collect()} == set(exact)
+
+
+def test_dense_ties_and_batches(spark):
+    corpus = spark.createDataFrame([(i, i, [1.0, 0.0]) for i in range(50)], "page_id long, chunk_id long, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([("a", [1.0, 0.0])], "query_id string, embedding array<float>")
+    assert [r.chunk_id for r in dense.dense_topk(q, corpus, 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_evaluate_run(spark):
+    assert evaluation.evaluate_run(["a", "b"], [[1], [2]], lambda q: [[1], [3]]) == 0.5
+    assert evaluation.evaluate_run([], [], lambda q: []) == 0.0
+    with pytest.raises(ValueError):
+        evaluation.evaluate_run(["a"], [[1]], lambda q: [])
+    with pytest.raises(TypeError):
+        evaluation.evaluate_run(["a"], [[1]], lambda q: [(1,)])
+
+
+def test_samples(spark, entries):
+    assert [r.page_id for r in src.first_pages(entries, 2).orderBy("page_id").collect()] == [10, 20]
+    q = ask(spark, *"abcdefgh")
+    got = {r.query_id for r in src.sample_queries(q, 3).collect()}
+    assert len(got) == 3 and got == {r.query_id for r in src.sample_queries(q.repartition(4), 3).collect()} and src.sample_queries(q, 0).count() == 8
+    labelled = spark.createDataFrame([("a", [1, 2]), ("b", [2, 3])], "query_id string, relevant_page_ids array<long>")
+    assert {r.page_id for r in src.relevant_pages(labelled).collect()} == {1, 2, 3}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from pagequarry.__main__ import main
+
+    (tmp_path / "e").mkdir()
+    for i, t in ((1, "cats sleep"), (2, "dogs bark"), (3, "fish swim")):
+        (tmp_path / f"e/{i}.json").write_text(f'{{"title": "{t.split()[0]}", "content": "{t}"}}')
+    (tmp_path / "q.json").write_text('[{"query_id": "a", "query": "dogs", "relevant_page_ids": ["2"]}]')
+    at = ["--index", str(tmp_path / "i")]
+    assert main([*at, "build", str(tmp_path / "e")]) == 0
+    assert main([*at, "search", "fish", "-k", "1"]) == 0
+    assert main([*at, "evaluate", str(tmp_path / "q.json")]) == 0
+    lines = capsys.readouterr().out.strip().splitlines()
+    assert lines[0] == "[3]" and '"ndcg": 1.0' in lines[1]
