@@ -70,12 +70,11 @@ def hashing_embedder(texts: DataFrame, column: str = "text", dims: int = 64) ->
     """A deterministic stand-in for a text model: signed hashed token counts, unit length, as ``embedding`` array<float>; zeros without tokens."""
     t = tokens(F.coalesce(F.col(column), F.lit("")))
     coded = F.transform(t, lambda x: F.struct(F.pmod(F.conv(F.substring(F.md5(x.cast("binary")), 1, 6), 16, 10).cast("int"), F.lit(dims)).alias("i"), F.when(F.substring(F.md5(x.cast("binary")), 7, 1) < "8", 1.0).otherwise(-1.0).alias("s")))
-    # what each place adds, one pass over the tokens for a place that any token has
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(F.filter("_coded", lambda x: x["i"] == i), F.lit(0.0), lambda acc, x: acc + x["s"]))
-    size = F.sqrt(F.aggregate("_vec", F.lit(0.0), lambda acc, x: acc + x * x))
-    out = texts.withColumn("_coded", coded).withColumn("_vec", vec).withColumn("_size", size)
-    unit = F.transform("_vec", lambda x: F.when(F.col("_size") > 0, x / F.col("_size")).otherwise(0.0))
-    return out.withColumn("embedding", unit.cast("array<float>")).drop("_coded", "_vec", "_size")
+    # bound once each: within lambdas the expressions would be computed anew for every place
+    place = lambda c: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(F.filter(c, lambda x: x["i"] == i), F.lit(0.0), lambda acc, x: acc + x["s"]))
+    size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+    unit = lambda v: let(size(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+    return texts.withColumn("embedding", let(coded, lambda c: let(place(c), unit)).cast("array<float>"))
 
 
 hashing_embedder.name = "hashing-64"

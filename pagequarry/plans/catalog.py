@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.config import ChunkConfig, EngineConfig, RetrieveConfig
-from pagequarry.functions.text import keyword_query, merged_query, page_id, tokens, wrapped
+from pagequarry.functions.text import keyword_query, let, merged_query, page_id, tokens, wrapped
 from pagequarry.operators import bm25, chunking, dense, evaluation, fusion, rerank
 from pagequarry.plans import engine, store
 from pagequarry.sources.entries import dev_subset, page_features
@@ -184,7 +184,7 @@ def hybrid_search(spark, d):
 
 def _relevance(spark, d):
     """(query_id, page_id): pages that hold the query's text.  They meet on a run of tokens within the query, which any such page has too; then the whole text is looked for."""
-    run = lambda t, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))
+    run = lambda tokens_, n: let(tokens_, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " ")))
     q = queries_(spark, d).withColumn("t", tokens("query"))
     # the first and last token may be parts of words in the page; of the runs the longest is rare as a rule
     inner = F.slice("t", 2, F.greatest(F.size("t") - 2, F.lit(0)))
