@@ -9,10 +9,13 @@ n-grams (sorted 64-bit hashes, as differences of six bytes) that fall in one ran
   1. Each block of texts (a run of the scan of about BLOCK_BYTES) is exploded and pre-aggregated into such rows.
   2. Rows of a range meet, are summed to the count table, and joined back to each row's n-grams.
   3. The joined counts return to their block, where scores are summed per text.
-A frequent n-gram is one entry per block, so no range gathers rows in proportion to its frequency.
+A frequent n-gram is one entry per block, so no range gathers rows in proportion to its frequency.  There are so many ranges that one
+holds the n-grams of about RANGE_BYTES of text, however large the corpus.  Each block's rows bear a sum of its hashes: a block that is
+other when it is read again (texts changed, or other rows) raises instead of scoring wrongly.
 
-Null, empty and blank texts have no words and score 0.  Words are runs between ASCII white space, A-Z lower-cased.
-Repeated rows are separate texts of the corpus.
+Null, empty and blank texts have no words and score 0; very long texts are one block and are scored part by part; an empty table gives no rows.  Words
+are runs between ASCII white space, A-Z lower-cased.  Repeated rows are separate texts of the corpus; null ids are scored like any other; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import Words, chunks, grams, materialize, mix, partitions, ship
+from pagequarry.llm.common import Words, chunks, grams, mapped, materialize, mix, partitions, ship
 
-BACKOFF, BLOCK_BYTES = 0.4, 16_000_000
+BACKOFF, BLOCK_BYTES, RANGE_BYTES = 0.4, 16_000_000, 64_000_000
 
 #: Words of the longest n-grams of the registered query.
 ORDER = 3
@@ -112,6 +115,7 @@ def _explode(docs: DataFrame, ranges: int, order: int) -> DataFrame:
         for number, _, texts in blocks(batches, 1):
             parts = [every for _, every in ngrams(texts, order)]
             h, n = np.unique(np.concatenate([present(x) for x in parts]), return_counts=True)
+            mark = checksum(h)
             # its words: what the range's share of N is counted by
             words = distinct(np.concatenate([x[0] for x in parts]))
             del parts
@@ -122,9 +126,9 @@ def _explode(docs: DataFrame, ranges: int, order: int) -> DataFrame:
             for r in range(ranges):
                 a, b = places[r], places[r + 1]
                 if b > a:
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([part + number], pa.int64()), pa.array([pack(h[a:b])], pa.binary()), pa.array([small(n[a:b])], pa.binary()), pa.array([int(total[a:b].sum())], pa.int64())], ["r", "block", "grams", "n", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([part + number], pa.int64()), pa.array([pack(h[a:b])], pa.binary()), pa.array([small(n[a:b])], pa.binary()), pa.array([int(total[a:b].sum())], pa.int64()), pa.array([mark], pa.int64())], ["r", "block", "grams", "n", "words", "mark"])
 
-    return docs.mapInArrow(run, "r int, block bigint, grams binary, n binary, words bigint")
+    return mapped(docs, run, "r int, block bigint, grams binary, n binary, words bigint, mark bigint", "lm")
 
 
 def _count(packed: DataFrame) -> DataFrame:
@@ -136,7 +140,7 @@ def _count(packed: DataFrame) -> DataFrame:
         total = np.bincount(inv, weights=np.concatenate([counts(r[3]) for r in rows]), minlength=len(key)).astype(np.int64)[inv]
         head = np.cumsum([0, *map(len, own)])
         for i, r in enumerate(rows):
-            yield pa.RecordBatch.from_arrays([pa.array([r[1]], pa.int64()), pa.array([r[0]], pa.int32()), pa.array([small(total[head[i] : head[i + 1]])], pa.binary()), pa.array([r[4]], pa.int64())], ["block", "r", "total", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[1]], pa.int64()), pa.array([r[0]], pa.int32()), pa.array([small(total[head[i] : head[i + 1]])], pa.binary()), pa.array([r[4]], pa.int64()), pa.array([r[5]], pa.int64())], ["block", "r", "total", "words", "mark"])
 
     def run(batches):
         held: list[tuple] = []
@@ -150,7 +154,7 @@ def _count(packed: DataFrame) -> DataFrame:
             yield from settle(held)
 
     dealt = packed.repartition(partitions(packed.sparkSession), "r").sortWithinPartitions("r", "block")
-    return dealt.mapInArrow(run, "block bigint, r int, total binary, words bigint")
+    return mapped(dealt, run, "block bigint, r int, total binary, words bigint, mark bigint", "lm")
 
 
 def others(g: np.ndarray, doc: np.ndarray, h: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -165,11 +169,16 @@ def others(g: np.ndarray, doc: np.ndarray, h: np.ndarray, total: np.ndarray) ->
     return out
 
 
-def scores(texts: list[bytes], total: np.ndarray, n: int, order: int) -> list[tuple[int, float]]:
+def checksum(h: np.ndarray) -> int:
+    """Of distinct hashes, in any order."""
+    return int(np.add.reduce(mix(h)).view(np.int64)) if len(h) else 0
+
+
+def scores(texts: list[bytes], total: np.ndarray, n: int, order: int, mark: int | None = None) -> list[tuple[int, float]]:
     """(words, score) of a block's texts, given the corpus counts of its distinct n-grams in order of hash."""
     # only distinct n-grams are held for the whole block; texts are scored part by part
     h = distinct(np.concatenate([np.zeros(0, dtype=np.uint64), *(distinct(present(every)) for _, every in ngrams(texts, order))]))
-    if len(h) != len(total):
+    if len(h) != len(total) or mark is not None and checksum(h) != mark:
         raise RuntimeError("the block differs from the one that was counted")
     size, out = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
     for doc, every in ngrams(texts, order):
@@ -198,37 +207,39 @@ def _score(docs: DataFrame, totals: DataFrame, n: int, order: int) -> DataFrame:
                 k = len(ids[x])
                 yield pa.RecordBatch.from_arrays([pa.array([part + number] * k, pa.int64()), pa.array(range(lo, lo + k), pa.int32()), pa.array(ids[x], pa.int64()), pa.array(texts[x], pa.binary())], ["block", "at", "doc_id", "body"])
 
-    def settle(total: list[bytes], ids: list, texts: list[bytes]):
-        got = scores(texts, np.concatenate([counts(t) for t in total]) if total else np.zeros(0, dtype=np.int64), n, order)
+    def settle(total: list[bytes], ids: list, texts: list[bytes], mark: int | None):
+        got = scores(texts, np.concatenate([counts(t) for t in total]) if total else np.zeros(0, dtype=np.int64), n, order, mark)
         words, s = [g[0] for g in got], [g[1] for g in got]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.int64()), pa.array(s, pa.float64()), pa.array([b / a if a else None for a, b in got], pa.float64())], ["doc_id", "n_words", "score", "mean_score"])
 
     def run(batches):
-        block, total, ids, texts = None, [], [], []
+        block, total, ids, texts, mark = None, [], [], [], None
         for b in batches:
             for k, kind, _, i, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if k != block and block is not None:
-                    yield settle(total, ids, texts)
-                    total, ids, texts = [], [], []
+                    yield settle(total, ids, texts, mark)
+                    total, ids, texts, mark = [], [], [], None
                 block = k
                 if kind:
                     ids.append(i)
                     texts.append(body)
                 else:
                     total.append(body)
+                    mark = i
         if block is not None:
-            yield settle(total, ids, texts)
+            yield settle(total, ids, texts, mark)
 
-    rows = docs.mapInArrow(label, "block bigint, at int, doc_id bigint, body binary").selectExpr("block", "1 kind", "at", "doc_id", "body")
-    rows = rows.unionByName(totals.selectExpr("block", "0 kind", "r at", "cast(null as bigint) doc_id", "total body"))
+    rows = mapped(docs, label, "block bigint, at int, doc_id bigint, body binary", "lm").selectExpr("block", "1 kind", "at", "doc_id", "body")
+    rows = rows.unionByName(totals.selectExpr("block", "0 kind", "r at", "mark doc_id", "total body"))
     dealt = rows.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", "kind", "at")
-    return dealt.mapInArrow(run, "doc_id bigint, n_words bigint, score double, mean_score double")
+    return mapped(dealt, run, "doc_id bigint, n_words bigint, score double, mean_score double", "lm")
 
 
 def backoff_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     """doc_id, n_words, score, mean_score: one row per row of ``docs``."""
     ship(docs.sparkSession)
     src = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    totals = materialize(_count(_explode(src, partitions(docs.sparkSession), order)), "count")
+    size = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    totals = materialize(_count(_explode(src, max(partitions(docs.sparkSession), -(-size // RANGE_BYTES)), order)), "count")
     n = totals.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     return _score(src, totals, n, order)

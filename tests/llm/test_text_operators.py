@@ -154,6 +154,23 @@ def test_registered_lm_has_trigrams(spark, docs, corpus, monkeypatch, tmp_path,
         assert got[i][0] == n and got[i][1] == pytest.approx(s, abs=1e-6)
 
 
+def test_lm_in_many_ranges(docs, corpus, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "RANGE_BYTES", 3000)
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 4000)
+    got = {r.doc_id: r.score for r in lm_scoring.backoff_scores(docs, 3).collect()}
+    for i, _, s in brute_backoff(corpus, 3):
+        assert got[i] == pytest.approx(s, abs=1e-6)
+
+
+def test_lm_notices_another_block():
+    texts = [b"a b c d e", b"a b c"]
+    every = [e for _, e in lm_scoring.ngrams(texts, 2)]
+    h, n = np.unique(np.concatenate([lm_scoring.present(e) for e in every]), return_counts=True)
+    assert len(lm_scoring.scores(texts, n, 8, 2, lm_scoring.checksum(h))) == 2
+    with pytest.raises(RuntimeError):
+        lm_scoring.scores([b"a b c d x", b"a b c"], n, 8, 2, lm_scoring.checksum(h))
+
+
 def test_pack():
     rng = np.random.default_rng(1)
     for h in (np.sort(rng.integers(0, 2**63, 5000, dtype=np.uint64)), np.array([7], dtype=np.uint64), np.array([0, 2**63], dtype=np.uint64), np.arange(9, dtype=np.uint64)):
