@@ -129,13 +129,17 @@ def kept(owner: str) -> dict:
     return _CACHES.setdefault(owner, {})
 
 
-def mapped(df: DataFrame, run, schema: str, owner: str) -> DataFrame:
-    """``mapInArrow`` for workers that serve several operators: frees what others keep, and gives freed memory back at the end of a task."""
+def mapped(df: DataFrame, run, schema: str, owner: str, large: int = 32_000_000) -> DataFrame:
+    """``mapInArrow`` for workers that serve several operators: frees what others keep, and gives freed memory back at the end of a task.
+
+    Blocks of ``large`` bytes or more go back as soon as they are freed, which costs array code some time.
+    """
 
     def guarded(batches):
         for other in [k for k in _CACHES if k != owner]:
             del _CACHES[other]
         pa.set_memory_pool(pa.system_memory_pool())
+        tidy(large)
         try:
             yield from run(batches)
         finally:
@@ -144,6 +148,16 @@ def mapped(df: DataFrame, run, schema: str, owner: str) -> DataFrame:
     return df.mapInArrow(guarded, schema)
 
 
+def tidy(large: int) -> None:
+    """One arena for all threads, and large blocks apart from it."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-8, 1)  # M_ARENA_MAX
+        libc.mallopt(-3, large)  # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def trim() -> None:
     """Gives the C library's free memory back to the system."""
     try:

@@ -27,6 +27,8 @@ from pagequarry.llm.common import kept, mapped, ship
 MARK = "▁"
 #: Segments kept in each of two generations, none longer than CACHE_CHARS.
 CACHE_SEGMENTS, CACHE_CHARS = 60_000, 48
+#: Segments encoded at a time, and bytes of a block that a worker gives back at once.
+LEARNT, LARGE = 8_000, 1_000_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -103,7 +105,7 @@ class PieceCoder:
             for p, s in usable.items():
                 ranked += [(-s, ids[p[:i]], ids[p[i:]], p[:i], p[i:]) for i in range(1, len(p)) if p[:i] in usable and p[i:] in usable]
             ranked.sort()
-            model = models.BPE(ids, [(a, b) for *_, a, b in ranked], unk_token=unk, fuse_unk=True, byte_fallback=m["byte_fallback"])
+            model = models.BPE(ids, [(a, b) for *_, a, b in ranked], unk_token=unk, fuse_unk=True, byte_fallback=m["byte_fallback"], cache_capacity=0)
         self.tok = Tokenizer(model)
         self.tok.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
@@ -185,7 +187,8 @@ class PieceCoder:
                     if len(s) > CACHE_CHARS:
                         once.append(s)
         if fresh:
-            young.update(self.learn(fresh))
+            for i in range(0, len(fresh), LEARNT):
+                young.update(self.learn(fresh[i : i + LEARNT]))
         out = []
         mark = MARK if self.escape else " "
         for t, segs in zip(texts, split, strict=True):
@@ -238,7 +241,7 @@ def sentencepiece_encode(docs: DataFrame, model_path: str, id_col: str = "doc_id
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *names])
 
-    return mapped(src, run, schema, "pieces")
+    return mapped(src, run, schema, "pieces", LARGE)
 
 
 def decode(ids: DataFrame, model_path: str) -> DataFrame:
@@ -255,4 +258,4 @@ def decode(ids: DataFrame, model_path: str) -> DataFrame:
             text = [None if x is None else t[1 if c.prefix and t else 0 :] for x, t in zip(lists, text, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, "decoded"])
 
-    return mapped(ids, run, schema, "pieces")
+    return mapped(ids, run, schema, "pieces", LARGE)
