@@ -7,18 +7,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries held by one pass; more are split over several.
+from pagequarry.functions.text import bounded_batches
+
+#: Queries held by one pass, at most; more are split over several.
 QUERY_BLOCK = 4096
 
+#: Results that a task may keep at once (queries of a pass times k), and scores in one block.
+HELD, CELLS = 1_000_000, 1_000_000
+
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """queries (query_id, embedding), corpus (page_id, chunk_id, embedding) -> (query_id, rank, page_id, chunk_id, score).
 
-    Each task keeps its own top k per query (and ties of the last) over all its batches, so at most k rows per query and task are shuffled
-    before the final limit.  Query vectors are broadcast in blocks of QUERY_BLOCK.  Ties by page_id, chunk_id.  Null vectors
-    and vectors of another length match nothing.
+    Each task keeps its own top k per query over all its batches, so at most k rows per query and task are shuffled
+    before the final limit.  Query vectors are broadcast in blocks, so many that queries times k are bounded; scores are computed in blocks of CELLS.
+    Ties by page_id, chunk_id.  Null vectors and vectors of another length match nothing.
     """
-    parts = -(-queries.count() // QUERY_BLOCK) or 1
+    bounded_batches(corpus.sparkSession)
+    parts = -(-queries.count() // max(1, min(QUERY_BLOCK, HELD // k))) or 1
     out = None
     for p in range(parts):
         rows = queries.where(F.col("embedding").isNotNull()).where(F.expr(f"pmod(xxhash64(query_id), {parts}) = {p}")).collect()
@@ -33,36 +39,47 @@ def _block(rows: list, corpus: DataFrame, kind: str, k: int, digits: int) -> Dat
     vecs = np.array([list(r.embedding) for r in rows], dtype=np.float64)
     id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
     sent = corpus.sparkSession.sparkContext.broadcast(vecs)  # QUERY_BLOCK vectors at most
+    cells = CELLS
 
-    def best(score: np.ndarray, page: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if len(score) > k:
-            at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
-            # of equals at the end only those first in order can count
-            at = at[np.lexsort((chunk[at], page[at], -score[at]))[:k]]
-            return score[at], page[at], chunk[at]
-        return score, page, chunk
+    def matrix(v: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors of the asked length, and where they stand."""
+        ok = (v.is_valid().to_numpy(zero_copy_only=False)) & (v.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == dims)
+        at = np.flatnonzero(ok)
+        return v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dims), at
 
     def run(batches):
         asked = sent.value
-        empty = np.zeros(0, dtype=np.int64)
-        held = [(np.zeros(0), empty, empty)] * len(ids)
+        if not len(ids):
+            return
+        held, waiting, n = None, [], 0  # the best so far, and (query, score, page, chunk) still to be ranked
+        least = np.full(len(ids), -np.inf)  # once k are found, no lower score counts
+
+        def cut():
+            nonlocal held, waiting, n
+            q, score, page, chunk = (np.concatenate(x) for x in zip(*([held] if held else []), *waiting, strict=True))
+            at = np.lexsort((chunk, page, -score, q))
+            first = np.searchsorted(q[at], np.arange(len(ids)))
+            place = np.arange(len(at)) - first[q[at]]
+            at, last = at[place < k], at[place == k - 1]
+            least[q[last]] = score[last]
+            held, waiting, n = (q[at], score[at], page[at], chunk[at]), [], 0
+
+        step = max(1, cells // len(ids))
         for b in batches:
-            v = b.column(2)
-            ok = np.array([x.is_valid and len(x) == asked.shape[1] for x in v], dtype=bool) if len(ids) else np.zeros(b.num_rows, dtype=bool)
-            if not ok.any():
-                continue
-            x = np.stack([np.asarray(v[i].values, dtype=np.float64) for i in np.flatnonzero(ok)])
-            page, chunk = (np.asarray(b.column(i))[ok] for i in (0, 1))
-            s = np.round(asked @ x.T, digits)
-            for q in range(len(ids)):
-                own = best(s[q], page, chunk)
-                held[q] = best(*(np.concatenate([a, c]) for a, c in zip(held[q], own, strict=True)))
-        for lo in range(0, len(ids), 64):
-            part = held[lo : lo + 64]
-            n = [len(h[0]) for h in part]
-            score, page, chunk = (np.concatenate([h[i] for h in part]) for i in range(3))
-            who = [i for i, m in zip(ids[lo : lo + 64].tolist(), n, strict=True) for _ in range(m)]
-            yield pa.RecordBatch.from_arrays([pa.array(who, id_type), pa.array(page, pa.int64()), pa.array(chunk, pa.int64()), pa.array(score, pa.float64())], ["query_id", "page_id", "chunk_id", "score"])
+            x, ok = matrix(b.column(2), asked.shape[1])
+            page, chunk = (b.column(i).to_numpy(zero_copy_only=False)[ok] for i in (0, 1))
+            for lo in range(0, len(x), step):
+                s = np.round(asked @ x[lo : lo + step].T, digits)
+                q, r = np.nonzero(s >= least[:, None])
+                waiting.append((q, s[q, r], page[lo + r], chunk[lo + r]))
+                n += len(q)
+                if n >= cells:
+                    cut()
+        if waiting:
+            cut()
+        for lo in range(0, 0 if held is None else len(held[0]), 65_536):
+            q, score, page, chunk = (x[lo : lo + 65_536] for x in held)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q].tolist(), id_type), pa.array(page, pa.int64()), pa.array(chunk, pa.int64()), pa.array(score, pa.float64())], ["query_id", "page_id", "chunk_id", "score"])
 
     src = corpus.selectExpr("cast(page_id as bigint) page_id", "cast(chunk_id as bigint) chunk_id", "embedding")
     return src.mapInArrow(run, f"query_id {kind}, page_id bigint, chunk_id bigint, score double")
